@@ -47,7 +47,7 @@ def majority(values: np.ndarray) -> int:
 
 def remixed(values: np.ndarray, k: int) -> np.ndarray:
     """Another 64 bits of each hash: a bijective mix, a different one for each k."""
-    x = values + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k)
+    x = values + np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -84,27 +84,27 @@ def segments(m: int) -> list[int]:
     return [((1 << b) - 1) & ~((1 << a) - 1) for a, b in zip(edge, edge[1:])]  # noqa: B905
 
 
-def chains(k: int, m: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """For each start in the ring: the mask of the segments that must be equal, and (mask, budget) of each longer run that bounds more than the next."""
+def chains(k: int, m: int) -> list[tuple[int, list[tuple[int, int]], int]]:
+    """For each start in the ring: the mask of the segments that must be equal, (mask, budget) of each longer run that bounds more than the next, and 0, the word."""
     parts, out = segments(m), []
     clean = max(n for n in range(m + 1) if n * k // m == 0)
     for i in range(m):
         run = [sum(parts[(i + j) % m] for j in range(n)) for n in range(m + 1)]
         longer = [(run[n], n * k // m) for n in range(clean + 1, m + 1) if n == m or (n + 1) * k // m > n * k // m]
-        out.append((run[clean], longer))
+        out.append((run[clean], longer, 0))
     return out
 
 
-def combos(m: int, clean: int) -> list[tuple[int, list]]:
-    """Every choice of `clean` of m segments: two fingerprints that differ in m - clean bits at most agree on one of them."""
-    return [(sum(x), []) for x in combinations(segments(m), clean)]
+def combos(m: int, clean: int, words: int = 1) -> list[tuple[int, list, int]]:
+    """Every choice of `clean` of m segments of each of `words` 64-bit words: of words that differ in m - clean bits at most, one choice agrees."""
+    return [(sum(x), [], w) for w in range(words) for x in combinations(segments(m), clean)]
 
 
 def _flat(mask: int) -> Column:
     return F.lit(signed(mask)).cast("long")
 
 
-def links(classes: DataFrame, plan: list[tuple[int, list[tuple[int, int]]]], accept: Callable[[Callable[[str], Column]], Column], extra: Sequence[str] = ()) -> DataFrame:
+def links(classes: DataFrame, plan: list[tuple[int, list[tuple[int, int]], int]], accept: Callable[[Callable[[str], Column]], Column], extra: Sequence[str] = ()) -> DataFrame:
     """Pairs (a, b) of the distinct fingerprints in `classes` (fp, *extra) that agree on a key of `plan`, keep its budgets and pass `accept`.
 
     Keys that over DENSE fingerprints share make no pairs: these fingerprints are tied through common neighbours, values
@@ -112,7 +112,7 @@ def links(classes: DataFrame, plan: list[tuple[int, list[tuple[int, int]]]], acc
     65 such fingerprints at most, so no group is large however many near copies there are. Within such a key `accept`
     further compares each fingerprint with the key's smallest one.
     """
-    keys = F.posexplode(F.array(*(F.col("fp").bitwiseAND(_flat(mask)) for mask, _ in plan))).alias("k", "key")
+    keys = F.posexplode(F.array(*((F.col("more")[w - 1] if w else F.col("fp")).bitwiseAND(_flat(mask)) for mask, _, w in plan))).alias("k", "key")
     held = classes.select("fp", *extra, keys)
     sizes = common.materialise(held.groupBy("k", "key").agg(F.count("*").alias("n"), F.min("fp").alias("hub")).where("n > 1"), "keys")
     shared = common.materialise(held.join(sizes, ["k", "key"]), "shared")
@@ -121,9 +121,9 @@ def links(classes: DataFrame, plan: list[tuple[int, list[tuple[int, int]]]], acc
         l, r = left.alias("l"), right.alias("r")  # noqa: E741
         differ = F.col("l.fp").bitwiseXOR(F.col("r.fp"))
         budget = F.lit(True)
-        for j in range(max(len(x) for _, x in plan)):
-            masks = F.array(*(_flat(x[j][0]) for _, x in plan))
-            most = F.array(*(F.lit(x[j][1]) for _, x in plan))
+        for j in range(max(len(x) for _, x, _ in plan)):
+            masks = F.array(*(_flat(x[j][0]) for _, x, _ in plan))
+            most = F.array(*(F.lit(x[j][1]) for _, x, _ in plan))
             at = (F.col("l.k") + 1).cast("int")
             budget = budget & (F.bit_count(differ.bitwiseAND(F.element_at(masks, at))) <= F.element_at(most, at))
         side = lambda which: (lambda c: F.col(f"{which}.{c}"))
@@ -171,7 +171,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, k: int = 2, m: int = 7) -
 
 
 #: For similar_documents: words of a shingle, the Jaccard similarity that counts, and 64-bit words of its fingerprint.
-SHINGLE, SIMILAR, LONG = 5, 0.8, 4
+SHINGLE, SIMILAR, LONG = 5, 0.8, 6
+#: Of its segments, in each 64 bits, candidates agree on two of six.
+PARTS, CLEAN = 6, 2
 
 
 def most_bits(similarity: float, bits: int) -> int:
@@ -182,8 +184,8 @@ def most_bits(similarity: float, bits: int) -> int:
 def keep_one(docs: DataFrame, similarity: float = SIMILAR, shingle: int = SHINGLE) -> DataFrame:
     """`docs` with one row of each group of near copies: the smallest doc_id's, and one row of those with equal ids.
 
-    Candidates agree on three of the eight segments of a 64-bit fingerprint, which all do that differ in up to five of
-    its bits; they are near copies if a fingerprint of 256 bits puts their similarity at `similarity` or more.
+    A text's fingerprint has LONG words of 64 bits. Candidates agree on CLEAN of the PARTS segments of some word; they
+    are near copies if all bits together put their similarity at `similarity` or more.
     Texts of fewer words than a shingle are compared as a whole; texts without words are one group.
     """
     columns = docs.columns
@@ -198,8 +200,8 @@ def keep_one(docs: DataFrame, similarity: float = SIMILAR, shingle: int = SHINGL
             off = off + F.bit_count(l("more")[i].bitwiseXOR(r("more")[i])).cast("int")
         return off <= most
 
-    # The class of a fingerprint takes part with all its 256 bits: other texts with the same 64 bits are copies or near ones.
-    grouped = link_components(rows, combos(8, 3), accept, ["more"])
+    # The class of a fingerprint takes part with all words of one of its texts: other texts with the same 64 bits are copies or near ones.
+    grouped = link_components(rows, combos(PARTS, CLEAN, LONG), accept, ["more"])
     kept = grouped.groupBy("component_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "_row")).alias("best"))
     stays = grouped.where(F.col("component_id").isNull()).select("_row").unionByName(kept.where(F.col("component_id").isNotNull()).select("best._row"))
     return whole.join(stays, "_row", "left_semi").withColumn("doc_id", F.col("_id")).select(*columns)

@@ -21,7 +21,7 @@ from . import common
 SAMPLE = {1: 800, 0: 1200}
 WINDOW, STRIDE = 32, 24
 BUCKETS, EMBED, HIDDEN = 8192, 12, 8
-EPOCHS, WARM, BATCH, RATE = 10, 3, 128, 0.01
+STEPS, WARM, BATCH, RATE = 320, 120, 128, 0.01
 #: Words whose projections a worker keeps; it starts afresh beyond.
 REMEMBERED = 150_000
 BLOCK = 2048
@@ -197,8 +197,8 @@ class Scorer:
         return sigmoid(np.maximum.reduceat(logits, first).astype(np.float64)) if len(texts) else np.zeros(0)
 
 
-def train(texts: list[str], y: np.ndarray, weights: np.ndarray, seed: int = 1, epochs: int = EPOCHS) -> Network:
-    """Fit by Adam. A document's label belongs to its strongest window, which every epoch finds anew; before the first
+def train(texts: list[str], y: np.ndarray, weights: np.ndarray, seed: int = 1, steps: int = STEPS) -> Network:
+    """Fit by Adam, for `steps` batches. A document's label belongs to its strongest window, which is found anew after each pass; before the first
     finds can be trusted, some windows of each document at random share its label."""
     r = np.random.default_rng(seed)
     share = float((weights * y).sum() / weights.sum()) if len(y) else 0.5
@@ -215,8 +215,8 @@ def train(texts: list[str], y: np.ndarray, weights: np.ndarray, seed: int = 1, e
     last = np.append(first[1:], len(index))
     moments = {k: (np.zeros_like(getattr(net, k)), np.zeros_like(getattr(net, k))) for k in Network.NAMES}
     step = 0
-    for epoch in range(epochs):
-        if epoch < WARM:
+    while step < steps:
+        if step < WARM:
             picks = np.concatenate([r.integers(a, b, size=min(3, b - a)) for a, b in zip(first, last, strict=True)])
         else:
             projected = net.project(net.embed(known)[0])
@@ -226,12 +226,14 @@ def train(texts: list[str], y: np.ndarray, weights: np.ndarray, seed: int = 1, e
         doc = np.searchsorted(first, picks, side="right") - 1
         order = r.permutation(len(picks))
         for i in range(0, len(order), BATCH):
+            if step >= steps:
+                break
             own = order[i : i + BATCH]
             rows = ids[index[picks[own]]]
             used, local = np.unique(rows, return_inverse=True)
             got = net.gradients([known[k] for k in used], local.reshape(rows.shape), mask[picks[own]], y[doc[own]].astype(np.float32), (weights[doc[own]] / len(own)).astype(np.float32))
             step += 1
-            rate = RATE * min(1.0, 2 * (1 - epoch / epochs) + 0.1)
+            rate = RATE * min(1.0, 2 * (1 - step / steps) + 0.1)
             for k, g in got.items():
                 m, v = moments[k]
                 m += 0.1 * (g - m)

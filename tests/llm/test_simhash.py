@@ -61,7 +61,7 @@ def test_chains_hold_for_every_two_bits():
     for i in range(64):
         for j in range(64):
             d = 1 << i | 1 << j
-            assert any(not d & mask and all((d & m).bit_count() <= most for m, most in more) for mask, more in plan)
+            assert any(not d & mask and all((d & m).bit_count() <= most for m, most in more) for mask, more, _ in plan)
 
 
 @pytest.mark.parametrize("dense", [64, 3])

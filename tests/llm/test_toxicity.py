@@ -56,7 +56,7 @@ def test_training_finds_a_rare_stem():
             words[int(r.integers(90))] = f"snark{r.choice(['le', 'en', 'ung', 'est', 'ix'])}"
         texts.append(" ".join(words))
     y = np.array(y, dtype=np.int64)
-    net = toxicity.train(texts[:240], y[:240], np.ones(240), epochs=12)
+    net = toxicity.train(texts[:240], y[:240], np.ones(240))
     score = toxicity.Scorer(net).score(texts[240:])
     assert ((score >= 0.5) == y[240:]).mean() > 0.9
 
