@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, media, mixing, quality, rules, simhash, token_counts, toxicity
+from . import bpe, lm, media, mixing, quality, rules, simhash, token_counts, toxicity
 from .common import crc_remainder, table
 
 
@@ -45,6 +45,10 @@ def op9_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_quality_classifier, op2_source_mixing, op3_bpe_transducer, op4_quality_rules, op6_media_containers, op7_toxicity, op8_token_counts, op9_simhash_near_dedup)
+def op10_language_model(spark, sf_dir):
+    return lm.score_documents(table(spark, sf_dir, "documents"), crc_remainder("doc_id", 7) != 2, public_tokenizers.path("word_bpe_49k.json"))
+
+
+_ALL = (op1_quality_classifier, op2_source_mixing, op3_bpe_transducer, op4_quality_rules, op6_media_containers, op7_toxicity, op8_token_counts, op9_simhash_near_dedup, op10_language_model)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL: dict[str, str] = {"op2_source_mixing": mixing.MIX_SQL}
