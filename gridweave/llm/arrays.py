@@ -14,6 +14,26 @@ NEVER = np.int32(2**31 - 1)
 WIDE, CELLS = 256, 2_000_000
 
 
+class Remembered:
+    """Values by key, of which at least the `bound` that were asked for last are kept, and twice as many at most."""
+
+    def __init__(self, bound: int):
+        self.bound, self.young, self.old = bound, {}, {}
+
+    def unknown(self, keys: set) -> list:
+        """The keys without a value; all others are in `young` from now on."""
+        if len(self.young) > self.bound:
+            self.old, self.young = self.young, {}
+        young, get, out = self.young, self.old.get, []
+        for k in keys - young.keys():
+            value = get(k)
+            if value is None:
+                out.append(k)
+            else:
+                young[k] = value
+        return out
+
+
 class HashTable:
     """Distinct unsigned 64-bit keys to 32-bit values, open addressing; all keys of a call take a probe at a time."""
 

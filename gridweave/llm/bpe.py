@@ -15,18 +15,19 @@ from collections.abc import Callable, Iterable
 from functools import cached_property
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .arrays import BatchBpe
+from .arrays import BatchBpe, Remembered
 
 #: Words that the lexicon takes from the corpus, the most frequent first; all others are merged when they are met.
 LEXICON_WORDS = 65_536
-#: Words whose results a worker remembers at once; it forgets all of them when it holds more.
-REMEMBERED = 250_000
+#: Words whose results a worker remembers: at least those it met last, twice as many at most.
+REMEMBERED = 160_000
 #: Longest word of the lexicon in bytes, which bounds its size.
 LEXICON_BYTES = 48
 
@@ -208,7 +209,7 @@ class Encoder:
 
     def __init__(self, bpe: WordBpe, lexicon: Lexicon):
         self.bpe, self.lexicon = bpe, lexicon
-        self.known: dict[str, tuple[bytes, str]] = {}
+        self.known = Remembered(REMEMBERED)
 
     @cached_property
     def strings(self) -> dict[int, str]:
@@ -232,25 +233,23 @@ class Encoder:
 
     def learn(self, runs: set[str]) -> None:
         """Make all of `runs` known."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [r for r in runs if r not in self.known]
+        new, known = self.known.unknown(runs), self.known.young
         parts = [self.bpe.pieces(r) for r in new]
         codes = self.codes(list({p for x in parts for p in x if isinstance(p, bytes)}))
         for run, pieces in zip(new, parts, strict=True):
             if len(pieces) == 1 and isinstance(pieces[0], bytes):
-                self.known[run] = codes[pieces[0]]
+                known[run] = codes[pieces[0]]
             else:
                 got = [codes[p] if isinstance(p, bytes) else self._packed([p]) for p in pieces]
-                self.known[run] = b"".join([g[0] for g in got]), "".join([g[1] for g in got])
+                known[run] = b"".join([g[0] for g in got]), "".join([g[1] for g in got])
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """Per text the ids as little-endian unsigned 32-bit integers, and the decoded text."""
         runs = [runs_of(t) for t in texts]
         self.learn(set().union(*runs))
-        out = []
+        out, get = [], self.known.young.__getitem__
         for x in runs:
-            got = [self.known[r] for r in x]
+            got = list(map(get, x))
             out.append((b"".join([g[0] for g in got]), "".join([g[1] for g in got])[1:]))
         return out
 
@@ -260,15 +259,27 @@ class Encoder:
 
 
 def build_lexicon(docs: DataFrame, bpe: WordBpe, size: int = LEXICON_WORDS) -> bytes:
-    """Compile the `size` most frequent words of all documents; ties go to the smaller word."""
-    top = common.count_words(docs).where(F.octet_length("word") <= LEXICON_BYTES).orderBy(F.desc("n"), "word").limit(size).collect()
+    """Compile the most frequent words of all documents, `size` at most.
+
+    How many words have a count is told in steps of an eighth of a power of two, which are a few hundred rows whatever
+    the corpus; the words of all steps that fit come to the driver, and no more than those.
+    """
+    step = F.floor(F.log2("n") * 8).cast("int")
+    counts = common.materialise(common.count_words(docs).where(F.octet_length("word") <= LEXICON_BYTES).withColumn("step", step), "words")
+    fits, total = None, 0
+    for r in sorted(counts.groupBy("step").count().collect(), key=lambda r: -r["step"]):
+        total += r["count"]
+        if total > size:
+            break
+        fits = r["step"]
+    top = [] if fits is None else counts.where(F.col("step") >= fits).select("word").collect()
     return Lexicon.compile({p for r in top for p in bpe.pieces(r["word"]) if isinstance(p, bytes)}, bpe.merge)
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, size: int = LEXICON_WORDS, with_ids: bool = False) -> DataFrame:
     """Encode every text of `docs` and decode it again.
 
-    A null text is the empty text, which has no tokens. Rows come out as often as they come in, in no order; further
+    `with_ids` adds the ids themselves. A null text is the empty text, which has no tokens. Rows come out as often as they come in, in no order; further
     columns are not read. The tokenizer file is read on the driver alone.
     """
     spark = docs.sparkSession
@@ -287,11 +298,14 @@ def encode_documents(docs: DataFrame, tokenizer: str, size: int = LEXICON_WORDS,
                 "ids_sha256": [hashlib.sha256(ids).hexdigest() for ids, _ in got],
                 "decoded_sha256": [hashlib.sha256(text.encode()).hexdigest() for _, text in got],
             }
-            return out | ({"ids": [np.frombuffer(ids, dtype="<u4").astype(np.int32) for ids, _ in got], "decoded": [text for _, text in got]} if with_ids else {})
+            if with_ids:
+                flat = np.frombuffer(b"".join([ids for ids, _ in got]), dtype="<i4")
+                out["ids"] = pa.ListArray.from_arrays(np.cumsum([0, *out["n_tokens"]]).astype(np.int32), flat)
+            return out
 
         return rows
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return common.map_texts(docs, [common.doc_id(), "text"], schema, make)
 
 
