@@ -106,7 +106,7 @@ def map_texts(docs: DataFrame, columns: list[Column | str], schema: str, make: C
         function = make()
         for part in text_slices(batches):
             got = function(part)
-            yield pa.RecordBatch.from_arrays([got[n] if isinstance(got[n], pa.Array) else pa.array(got[n], type=out.field(n).type) for n in names], schema=out)
+            yield pa.RecordBatch.from_arrays([got[n].cast(out.field(n).type) if isinstance(got[n], pa.Array) else pa.array(got[n], type=out.field(n).type) for n in names], schema=out)
 
     return docs.select(*columns).mapInArrow(run, kind)
 

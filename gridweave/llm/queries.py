@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, lm, media, mixing, quality, rules, simhash, token_counts, toxicity
+from . import bpe, lm, media, mixing, quality, rules, secrets, simhash, token_counts, toxicity
 from .common import crc_remainder, table
 
 
@@ -27,6 +27,10 @@ def op4_quality_rules(spark, sf_dir):
     return rules.apply_rules(docs, rules.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_secret_scan(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.learn(secrets.labelled_findings(spark)))
+
+
 def op6_media_containers(spark, sf_dir):
     return media.media_features(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,6 @@ def op10_language_model(spark, sf_dir):
     return lm.score_documents(table(spark, sf_dir, "documents"), crc_remainder("doc_id", 7) != 2, public_tokenizers.path("word_bpe_49k.json"))
 
 
-_ALL = (op1_quality_classifier, op2_source_mixing, op3_bpe_transducer, op4_quality_rules, op6_media_containers, op7_toxicity, op8_token_counts, op9_simhash_near_dedup, op10_language_model)
+_ALL = (op1_quality_classifier, op2_source_mixing, op3_bpe_transducer, op4_quality_rules, op5_secret_scan, op6_media_containers, op7_toxicity, op8_token_counts, op9_simhash_near_dedup, op10_language_model)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL: dict[str, str] = {"op2_source_mixing": mixing.MIX_SQL}
