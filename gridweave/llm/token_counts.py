@@ -17,13 +17,13 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 from . import common
-from .arrays import BatchBpe, HashTable, Trie
+from .arrays import BatchBpe, HashTable, Remembered, Trie
 from .bpe import byte_symbols
 
 #: Most tokens of a document that is within the limit.
 LIMIT = 512
-#: Runs and token pairs that a worker remembers; it forgets all when it holds more.
-REMEMBERED, PAIRS = 800_000, 500_000
+#: Runs whose counts a worker remembers, at least those it met last and twice as many at most; and most token pairs.
+REMEMBERED, PAIRS = 450_000, 500_000
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Runs that no word crosses: one run without white space and a space in front, or white space.
@@ -54,7 +54,8 @@ class PrefixCounter:
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.pattern = regex.compile(PATTERN)
         self.pairs = HashTable()
-        self.known: dict[str, int] = {}
+        self.known = Remembered(REMEMBERED)
+        self.opened: dict[bytes, list[int]] = {}
 
     @staticmethod
     def spec(path: str) -> str:
@@ -103,7 +104,15 @@ class PrefixCounter:
 
     def word_counts(self, word: bytes) -> list[int]:
         """Token count of every prefix of one word, the empty one first."""
-        return self.table([word])[0].tolist()
+        counts = self.opened.get(word)
+        return self.table([word])[0].tolist() if counts is None else counts
+
+    def open(self, texts: list[str]) -> None:
+        """Put the words of `texts` through the table together, ahead of `prefix_counts` of each."""
+        words = list({w.encode() for t in texts for run in self.units(t) for w in self.pattern.findall(run)})
+        counts, ends = self.table(words)
+        counts, ends = counts.tolist(), ends.tolist()
+        self.opened = {w: counts[a:b] for w, a, b in zip(words, ends, ends[1:])}  # noqa: B905
 
     def run_count(self, run: str) -> int:
         return int(sum(self.word_counts(word.encode())[-1] for word in self.pattern.findall(run)))
@@ -122,15 +131,13 @@ class PrefixCounter:
 
     def learn(self, runs: set[str]) -> None:
         """Make the counts of all of `runs` known; the words of those that are new go through the table together."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [r for r in runs if r not in self.known]
+        new, known = self.known.unknown(runs), self.known.young
         parts = [[w.encode() for w in self.pattern.findall(r)] for r in new]
         words = [w for w in {w for x in parts for w in x} if w not in self.tokens]
         sums, ends = self.table(words)
         total = dict(zip(words, sums[ends[1:] - 1].tolist(), strict=True))
         for run, x in zip(new, parts, strict=True):
-            self.known[run] = 1 if run in self.special else sum([total.get(w, 1) for w in x])
+            known[run] = 1 if run in self.special else sum([total.get(w, 1) for w in x])
 
     def prefix_counts(self, text: str) -> list[int]:
         """Exact token count of text[:i] for every i from 0 to its length.
@@ -201,21 +208,21 @@ class PrefixCounter:
         """Characters of the longest prefix of at most `budget` tokens."""
         return max(i for i, n in enumerate(self.prefix_counts(text)) if n <= budget)
 
-    def fit_units(self, units: list[str], counts: np.ndarray, budget: int) -> int:
-        """`fit` from the runs' counts: only the runs around the budget are opened, nothing is encoded again."""
+    def around(self, units: list[str], counts: np.ndarray, budget: int) -> tuple[int, int, str]:
+        """Where the budget ends: the characters and tokens ahead of the runs that must be opened, and these runs."""
         sums = np.cumsum(counts)
         k = int(np.searchsorted(sums, budget, side="right"))  # runs that fit whole
-        if k == len(units):
-            return sum(map(len, units))
-        start = k
-        while start and SPACES.fullmatch(units[start - 1]):  # white space is counted anew when it ends the prefix
+        start, stop = min(k, len(units)), k + 1
+        while start and start < len(units) and SPACES.fullmatch(units[start - 1]):  # white space is counted anew when it ends the prefix
             start -= 1
-        stop = k + 1
         while stop < len(units) and (SPACES.fullmatch(units[stop - 1]) or stop < k + 2):
             stop += 1
-        got = self.prefix_counts("".join(units[start:stop]))
-        base = int(sums[start - 1]) if start else 0
-        return sum(map(len, units[:start])) + max(i for i, n in enumerate(got) if base + n <= budget)
+        return sum(map(len, units[:start])), int(sums[start - 1]) if start else 0, "".join(units[start:stop])
+
+    def fit_units(self, units: list[str], counts: np.ndarray, budget: int) -> int:
+        """`fit` from the runs' counts: only the runs around the budget are opened, nothing is encoded again."""
+        chars, base, text = self.around(units, counts, budget)
+        return chars + max(i for i, n in enumerate(self.prefix_counts(text)) if base + n <= budget)
 
 
 _counters: dict[str, PrefixCounter] = {}
@@ -243,10 +250,12 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFra
             texts = common.texts_of(batch)
             units = [counter.units(t) for t in texts]
             counter.learn(set().union(*units))
-            get = counter.known.__getitem__
+            get = counter.known.young.__getitem__
             counts = [np.fromiter(map(get, u), dtype=np.int64, count=len(u)) for u in units]
             totals = [int(c.sum()) for c in counts]
-            fits = [len(t) if n <= limit else counter.fit_units(u, c, limit) for t, u, c, n in zip(texts, units, counts, totals, strict=True)]
+            ends = [counter.around(u, c, limit) if n > limit else None for u, c, n in zip(units, counts, totals, strict=True)]
+            counter.open([e[2] for e in ends if e])
+            fits = [len(t) if e is None else e[0] + max(i for i, n in enumerate(counter.prefix_counts(e[2])) if e[1] + n <= limit) for t, e in zip(texts, ends, strict=True)]
             return {"doc_id": batch.column(0), "n_bytes": [len(t.encode()) for t in texts], "n_tokens": totals, "over_limit": [n > limit for n in totals], "fit_chars": fits}
 
         return rows

@@ -86,7 +86,7 @@ def test_every_prefix_has_the_librarys_count(counter):
             for budget in (0, 1, 5, 20):
                 units = counter.units(text)
                 counter.learn(set(units))
-                counts = np.array([counter.known[u] for u in units], dtype=np.int64)
+                counts = np.array([counter.known.young[u] for u in units], dtype=np.int64)
                 best = max(i for i, n in enumerate(want) if n <= budget)
                 assert counter.fit(text, budget) == counter.fit_units(units, counts, budget) == best
 
