@@ -31,3 +31,7 @@ def register(name: str, sql: str | None = None) -> Callable:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Modules that register queries.
+MODULES = ("operators.catalog", "operators.histograms", "operators.matching", "operators.statistics")
