@@ -144,10 +144,10 @@ def _(spark, sf_dir):
     return rows.select("img", "y", F.round(F.expr("aggregate(l, cast(0 as double), (s, v) -> s + v) / 4"), 6).alias("b"))
 
 
-@register("hot_pixels", f"WITH {PX} SELECT img, y, x FROM {neighbours_sql(1, 'sum(q.v + 0.6) - (any_value(p.v) + 0.6)')} WHERE y BETWEEN 2 AND 5 AND x BETWEEN 2 AND 5 AND v + 0.6 > 0.25 * m")
+@register("hot_pixels", f"WITH {PX} SELECT img, y, x FROM {neighbours_sql(1, 'sum(q.v + 0.6) - (any_value(p.v) + 0.6)')} WHERE y BETWEEN 2 AND 5 AND x BETWEEN 2 AND 5 AND v + 0.6 > 0.2 * m")
 def _(spark, sf_dir):
     """Places that exceed a share of their eight neighbours' sum, but for a margin of two."""
-    hot = f"filter(sequence(0, size(a) - 1), i -> {inside(2)} and get(a, i) + 0.6D > 0.25D * ({total_of('transform(' + window('a', 1) + ', v -> v + 0.6D)')} - (get(a, i) + 0.6D)))"
+    hot = f"filter(sequence(0, size(a) - 1), i -> {inside(2)} and get(a, i) + 0.6D > 0.2D * ({total_of('transform(' + window('a', 1) + ', v -> v + 0.6D)')} - (get(a, i) + 0.6D)))"
     return planes(spark, sf_dir).select("img", F.explode(F.expr(hot)).alias("i")).select("img", F.expr(f"cast(i div {SIDE} as int)").alias("y"), F.expr(f"cast(i % {SIDE} as int)").alias("x"))
 
 
@@ -191,7 +191,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Guided by itself: a line fitted in every box, the lines' coefficients averaged."""
     df = box_blur(planes(spark, sf_dir), 1, "a", "m")
-    df = box_blur(df.withColumn("s", F.transform("a", lambda v: v * v)), 1, "s", "m2")
+    df = box_blur(df.withColumn("a2", F.transform("a", lambda v: v * v)), 1, "a2", "m2")
     df = df.withColumn("p", F.zip_with("m", "m2", lambda m, s: (s - m * m) / (s - m * m + 0.01)))
     df = df.withColumn("q", F.zip_with("m", "p", lambda m, p: m * (1 - p)))
     df = box_blur(box_blur(df, 1, "p", "pb"), 1, "q", "qb")
