@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..registry import table
@@ -14,9 +14,14 @@ MOSAIC = PX + ", mo AS (SELECT *, CASE WHEN y % 2 = 0 AND x % 2 = 0 THEN 0 WHEN
 CATALOG = "cat AS (SELECT p_partkey AS id, p_name AS name, p_brand AS make, p_type AS model, p_size AS iso, p_retailprice AS focal, (p_partkey % 6)::INT AS rank, (p_partkey % 5)::INT AS label, p_partkey % 11 = 0 AS trashed, p_partkey % 3 = 0 AS edited, p_partkey % 4 = 0 AS saved, p_partkey % 13 <> 0 AS exif_valid FROM part)"
 
 
+def hold(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """`df` with a column that is computed once a row. The optimiser would put a plain column's expression into the lambda functions that use it, to be computed for every element; it doesn't move one through a generator."""
+    return df.select(*(c for c in df.columns if c != name), F.explode(F.array(value)).alias(name))
+
+
 def planes(spark, sf_dir) -> DataFrame:
-    """(img, a): an image a row, its values row by row; operators on it need no shuffle."""
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("img"), F.col("embedding").cast("array<double>").alias("a"))
+    """(img, a): an image a row, its values row by row; operators on it need no shuffle. The generator keeps the cast out of the lambda functions that use `a`."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("img"), F.explode(F.array(F.col("embedding").cast("array<double>"))).alias("a"))
 
 
 def explode_plane(df: DataFrame, *columns: str, width: int = SIDE) -> DataFrame:

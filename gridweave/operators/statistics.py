@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import register, table
-from .fixtures import MOSAIC, PX, SIDE, explode_plane, mosaic, pixels, planes
+from .fixtures import MOSAIC, PX, SIDE, explode_plane, hold, mosaic, pixels, planes
 
 
 def mean_std(column: str) -> tuple[Column, Column]:
@@ -114,7 +114,7 @@ def _(spark, sf_dir):
     """Greens of even and odd rows get one mean. Each image is a row, so its means need neither shuffle nor join."""
     of = lambda k: F.filter(F.transform("a", lambda v, i: F.when((F.floor(i / SIDE) % 2 == k) & ((F.floor(i / SIDE) + i % SIDE) % 2 == 1), v + 1)), lambda v: v.isNotNull())
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
-    df = planes(spark, sf_dir).withColumn("e", mean(of(0))).withColumn("o", mean(of(1)))
+    df = hold(hold(planes(spark, sf_dir), "e", mean(of(0))), "o", mean(of(1)))
     both = (F.col("e") + F.col("o")) / 2
     gain = lambda c: both / F.when(F.col(c) == 0, 1.0).otherwise(F.col(c))
     green = lambda i: (F.floor(i / SIDE) + i % SIDE) % 2 == 1

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..registry import register
-from .fixtures import MOSAIC, PX, SIDE, explode_plane, planes
+from .fixtures import MOSAIC, PX, SIDE, explode_plane, hold, planes
 
 Y, X = f"(i div {SIDE})", f"(i % {SIDE})"
 
@@ -49,7 +49,7 @@ def inside(margin: int) -> str:
 def box_blur(df: DataFrame, r: int, a: str = "a", out: str = "b") -> DataFrame:
     """Mean of rows, then of columns, over frames that shrink at borders; the radius stops one short of the side."""
     r = min(r, SIDE - 1)
-    return df.withColumn("_h", each(mean_of(window(a, r, ry=0)), a)).withColumn(out, each(mean_of(window("_h", 0, ry=r)), a)).drop("_h")
+    return hold(hold(df, "_h", each(mean_of(window(a, r, ry=0)), a)), out, each(mean_of(window("_h", 0, ry=r)), a)).drop("_h")
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -70,7 +70,7 @@ def _(spark, sf_dir):
 
 @register("box_blur_abs", f"WITH {PX} SELECT img, y, x, round(b, 6) AS b FROM {blur_sql(1, 'abs(v)')}")
 def _(spark, sf_dir):
-    return rounded(box_blur(planes(spark, sf_dir).withColumn("a", F.transform("a", F.abs)), 1), "b")
+    return rounded(box_blur(hold(planes(spark, sf_dir), "a", F.transform("a", F.abs)), 1), "b")
 
 
 @register("box_blur_cfa", f"WITH {MOSAIC} SELECT img, y, x, round(avg(v) OVER (PARTITION BY img, y, x % 2 ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS b FROM mo")
@@ -95,7 +95,7 @@ def gaussian(sigma: float, r: int) -> dict[tuple[int, int], float]:
 
 
 def convolve(df: DataFrame, weights: dict[tuple[int, int], float], a: str = "a", out: str = "b") -> DataFrame:
-    return df.withColumn(out, each(" + ".join(f"{w!r}D * {at(a, dy, dx)}" for (dy, dx), w in weights.items()), a))
+    return hold(df, out, each(" + ".join(f"{w!r}D * {at(a, dy, dx)}" for (dy, dx), w in weights.items()), a))
 
 
 @register("gaussian_3x3", f"WITH {PX} SELECT img, y, x, round(b, 6) AS b FROM {stencil_sql(gaussian(0.55, 1))}")
@@ -155,7 +155,8 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Sites that are off the median of their colour by more than the deviation around them allows."""
     same = f"filter(transform(array(-18, -16, -14, -2, 0, 2, 14, 16, 18), d -> if({Y} + (case when d < -8 then -2 when d > 8 then 2 else 0 end) between 0 and {SIDE - 1} and {X} + (d - (case when d < -8 then -16 when d > 8 then 16 else 0 end)) between 0 and {SIDE - 1}, get(a, cast(i + d as int)), null)), v -> v is not null)"
-    df = planes(spark, sf_dir).withColumn("m", each(median_of(same))).withColumn("off", F.zip_with("a", "m", lambda v, m: F.abs(v - m)))
+    df = hold(planes(spark, sf_dir), "m", each(median_of(same)))
+    df = hold(df, "off", F.zip_with("a", "m", lambda v, m: F.abs(v - m)))
     bad = f"filter(sequence(0, size(a) - 1), i -> get(off, i) > 2.5D * {mean_of(window('off', 2))})"
     rows = df.select("img", "a", "m", F.explode(F.expr(bad)).alias("i"))
     return rows.select("img", F.expr(f"cast(i div {SIDE} as int)").alias("y"), F.expr(f"cast(i % {SIDE} as int)").alias("x"), F.expr("get(a, i) > get(m, i)").alias("hot"))
@@ -164,7 +165,7 @@ def _(spark, sf_dir):
 @register("impulse_mask", f"WITH {PX}, b AS (SELECT p.img, p.y, p.x, p.v, abs(p.v - s.b) AS h FROM px p JOIN {stencil_sql(gaussian(0.8, 2))} s USING (img, y, x)) SELECT p.img, p.y, p.x FROM b p JOIN b q ON q.img = p.img AND abs(q.y - p.y) <= 2 AND abs(q.x - p.x) <= 2 GROUP BY ALL HAVING any_value(p.h) > 2.5 * (sum(q.h) - any_value(p.h)) / (count(*) - 1)")
 def _(spark, sf_dir):
     """Where the high pass is far above that of its neighbours."""
-    df = convolve(planes(spark, sf_dir), gaussian(0.8, 2)).withColumn("h", F.zip_with("a", "b", lambda v, b: F.abs(v - b)))
+    df = hold(convolve(planes(spark, sf_dir), gaussian(0.8, 2)), "h", F.zip_with("a", "b", lambda v, b: F.abs(v - b)))
     w = window("h", 2)
     mask = f"filter(sequence(0, size(a) - 1), i -> get(h, i) > 2.5D * ({total_of(w)} - get(h, i)) / (size({w}) - 1))"
     return df.select("img", F.explode(F.expr(mask)).alias("i")).select("img", F.expr(f"cast(i div {SIDE} as int)").alias("y"), F.expr(f"cast(i % {SIDE} as int)").alias("x"))
@@ -191,9 +192,9 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Guided by itself: a line fitted in every box, the lines' coefficients averaged."""
     df = box_blur(planes(spark, sf_dir), 1, "a", "m")
-    df = box_blur(df.withColumn("a2", F.transform("a", lambda v: v * v)), 1, "a2", "m2")
-    df = df.withColumn("p", F.zip_with("m", "m2", lambda m, s: (s - m * m) / (s - m * m + 0.01)))
-    df = df.withColumn("q", F.zip_with("m", "p", lambda m, p: m * (1 - p)))
+    df = box_blur(hold(df, "a2", F.transform("a", lambda v: v * v)), 1, "a2", "m2")
+    df = hold(df, "p", F.zip_with("m", "m2", lambda m, s: (s - m * m) / (s - m * m + 0.01)))
+    df = hold(df, "q", F.zip_with("m", "p", lambda m, p: m * (1 - p)))
     df = box_blur(box_blur(df, 1, "p", "pb"), 1, "q", "qb")
     return rounded(df.withColumn("b", each("get(pb, i) * get(a, i) + get(qb, i)")), "b")
 
@@ -214,8 +215,9 @@ def _(spark, sf_dir):
 @register("defringe", f"WITH {PX}, d AS (SELECT img, y, x, v, (v - b) ** 2 AS e FROM px JOIN {blur_sql(1)} USING (img, y, x)), t AS (SELECT *, avg(e) OVER (PARTITION BY img) AS m FROM d) SELECT p.img, p.y, p.x, round(CASE WHEN any_value(p.e) > 2 * any_value(p.m) THEN sum(q.v / (q.e + q.m)) / sum(1 / (q.e + q.m)) ELSE any_value(p.v) END, 6) AS b FROM t p JOIN t q ON q.img = p.img AND abs(q.y - p.y) <= 1 AND abs(q.x - p.x) <= 1 GROUP BY ALL")
 def _(spark, sf_dir):
     """Places that deviate much more than the image does take a mean of their box, weighted by how little each deviates."""
-    df = box_blur(planes(spark, sf_dir), 1, out="g").withColumn("e", F.zip_with("a", "g", lambda v, g: (v - g) * (v - g))).withColumn("mean", F.expr(mean_of("e")))
-    df = df.withColumn("w", F.transform("e", lambda e: 1 / (e + F.col("mean")))).withColumn("vw", F.zip_with("a", "w", lambda v, w: v * w))
+    df = hold(box_blur(planes(spark, sf_dir), 1, out="g"), "e", F.zip_with("a", "g", lambda v, g: (v - g) * (v - g)))
+    df = hold(hold(df, "mean", F.expr(mean_of("e"))), "w", F.transform("e", lambda e: 1 / (e + F.col("mean"))))
+    df = hold(df, "vw", F.zip_with("a", "w", lambda v, w: v * w))
     return rounded(df.withColumn("b", each(f"if(get(e, i) > 2 * mean, {total_of(window('vw', 1))} / {total_of(window('w', 1))}, get(a, i))")), "b")
 
 
@@ -238,13 +240,13 @@ def _(spark, sf_dir):
     """Gradient through a smooth step, blurred."""
     g = f"sqrt(power({at('a', 0, 1)} - {at('a', 0, -1)}, 2) + power({at('a', 1, 0)} - {at('a', -1, 0)}, 2))"
     step = lambda v: 0.5 * (1 + (v * 16 / 0.2 - 16) / F.sqrt(1 + (v * 16 / 0.2 - 16) ** 2))
-    return rounded(box_blur(planes(spark, sf_dir).withColumn("g", F.transform(each(g), step)), 1, "g"), "b")
+    return rounded(box_blur(hold(planes(spark, sf_dir), "g", F.transform(each(g), step)), 1, "g"), "b")
 
 
 @register("dual_blend", f"WITH {PX} SELECT p.img, p.y, p.x, round(m * p.v + (1 - m) * q.b, 6) AS b FROM (SELECT *, least(abs(v) * 4, 1) AS m FROM px) p JOIN {blur_sql(1)} q USING (img, y, x)")
 def _(spark, sf_dir):
     """Two results mixed by a mask."""
-    df = box_blur(planes(spark, sf_dir), 1, out="g").withColumn("m", F.transform("a", lambda v: F.least(F.abs(v) * 4, F.lit(1.0))))
+    df = hold(box_blur(planes(spark, sf_dir), 1, out="g"), "m", F.transform("a", lambda v: F.least(F.abs(v) * 4, F.lit(1.0))))
     return rounded(df.withColumn("b", each("get(m, i) * get(a, i) + (1 - get(m, i)) * get(g, i)")), "b")
 
 
@@ -253,7 +255,7 @@ def _(spark, sf_dir):
     """A site keeps its own colour; the others are means of the sites around it that have them."""
     df = planes(spark, sf_dir)
     colour = lambda i: f"(case when ({i} div {SIDE}) % 2 = 0 and ({i} % {SIDE}) % 2 = 0 then 0 when ({i} div {SIDE}) % 2 = 1 and ({i} % {SIDE}) % 2 = 1 then 2 else 1 end)"
-    df = df.withColumn("z", F.expr(f"transform(sequence(0, size(a) - 1), i -> struct({colour('i')} as c, get(a, i) as v))"))
+    df = hold(df, "z", F.expr(f"transform(sequence(0, size(a) - 1), i -> struct({colour('i')} as c, get(a, i) as v))"))
     for c, n in enumerate("rgb"):
         own = f"transform(filter({window('z', 1)}, z -> z.c = {c}), z -> z.v)"
         df = df.withColumn(n, each(f"if(get(z, i).c = {c}, get(a, i), {mean_of(own)})"))
@@ -282,7 +284,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Over a blurred flat frame, relative to its centre."""
     p = planes(spark, sf_dir)
-    flat = box_blur(p, 1, out="f").select((F.col("img") - 1).alias("img"), F.transform("f", lambda v: v + 2).alias("f"))
+    flat = hold(box_blur(p, 1, out="g"), "f", F.transform("g", lambda v: v + 2)).select((F.col("img") - 1).alias("img"), "f")
     return rounded(p.join(flat, "img").withColumn("v", F.zip_with("a", "f", lambda v, f: v * F.get("f", F.lit(4 * SIDE + 4)) / f)), "v")
 
 
@@ -399,7 +401,7 @@ def resize(df: DataFrame, size: int, kernel: str) -> DataFrame:
     line = lambda terms, place: " + ".join(f"{v!r}D * get({place[0]}, cast({place[1].format(j=j)} as int))" for j, v in terms)
     across = "case i % {n} {arms} end".format(n=size, arms=" ".join(f"when {k} then {line(t, ('a', f'(i div {size}) * {SIDE} + ' + '{j}'))}" for k, t in enumerate(w)))
     down = "case i div {n} {arms} end".format(n=size, arms=" ".join(f"when {k} then {line(t, ('_h', '{j} * ' + str(size) + f' + i % {size}'))}" for k, t in enumerate(w)))
-    df = df.withColumn("_h", F.expr(f"transform(sequence(0, {SIDE * size - 1}), i -> {across})"))
+    df = hold(df, "_h", F.expr(f"transform(sequence(0, {SIDE * size - 1}), i -> {across})"))
     return df.withColumn("b", F.expr(f"transform(sequence(0, {size * size - 1}), i -> least(greatest({down}, array_min(a)), array_max(a)))")).drop("_h")
 
 
