@@ -87,9 +87,11 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
         (F.upper(syllables("w")),) * 2 + (prose, 0), (F.concat(syllables("w"), digit("z", 100).cast("string")),) * 2 + (prose, 0),
         (F.concat_ws("_", syllables("w"), F.lit("name2"), syllables("y")),) * 2 + (F.concat_ws(" ", prose, pick("n", "key", "", "")), 0),
     ]
-    row = [F.struct(w.alias("word"), v.alias("value"), b.alias("before"), F.lit(s).alias("secret")) for w, v, b, s in kinds]
-    made = spark.range(n).select("id", F.element_at(F.array(*row), (F.col("id") % len(row) + 1).cast("int")).alias("x"))
-    return made.select("id", "x.word", "x.value", "x.before", pick("t", "the", "and", "then.", "de", "").alias("after"), "x.secret")
+    made = None
+    for k, (w, v, b, secret) in enumerate(kinds):
+        part = spark.range(k, n, len(kinds), 1).select("id", w.alias("word"), v.alias("value"), b.alias("before"), pick("t", "the", "and", "then.", "de", "").alias("after"), F.lit(secret).alias("secret"))
+        made = part if made is None else made.unionAll(part)
+    return made.repartition(2, "id")  # else what is computed from them would be compiled once for each kind
 
 
 @dataclass(frozen=True)
