@@ -34,4 +34,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Modules that register queries.
-MODULES = ("operators.catalog", "operators.histograms", "operators.matching", "operators.statistics", "operators.stencils", "operators.tiles", "functions.queries", "streaming.queries")
+MODULES = ("operators.catalog", "operators.histograms", "operators.matching", "operators.statistics", "operators.stencils", "operators.tiles", "functions.queries", "functions.tone", "streaming.queries")
