@@ -114,3 +114,19 @@ def read_constants(spark: SparkSession, paths: Sequence[str], schema: str = "mak
 def read_lens_profiles(spark: SparkSession, path: str, row_tag: str = "lens", schema: str = "maker string, model string, mount string, cropfactor double") -> DataFrame:
     """Lens records of an XML database."""
     return spark.read.schema(schema).format("xml").option("rowTag", row_tag).load(path)
+
+
+def with_sidecars(files: DataFrame, sidecars: DataFrame, merge: bool = True) -> DataFrame:
+    """Files with the path of their sidecar: the one of the same folder and base name; null without one, or if merging is off."""
+    own = sidecars.select(F.col("dir").alias("_dir"), F.lower("base").alias("_base"), F.col("path").alias("sidecar")).groupBy("_dir", "_base").agg(F.min("sidecar").alias("sidecar"))
+    if not merge:
+        return files.withColumn("sidecar", F.lit(None).cast("string"))
+    return files.join(own, (F.col("dir") == F.col("_dir")) & (F.lower("base") == F.col("_base")), "left").drop("_dir", "_base")
+
+
+def reuse_cached(files: DataFrame, cache: DataFrame, values: Sequence[str]) -> DataFrame:
+    """Files with the cached `values` of their path, null where the file is newer than the cache, or unknown to it; `fresh` says which."""
+    held = cache.select(F.col("path").alias("_path"), F.col("modified").alias("_modified"), *(F.col(v).alias(f"_{v}") for v in values))
+    joined = files.join(held, F.col("path") == F.col("_path"), "left")
+    fresh = F.coalesce(F.col("modified") <= F.col("_modified"), F.lit(False))
+    return joined.select(*files.columns, fresh.alias("fresh"), *(F.when(fresh, F.col(f"_{v}")).alias(v) for v in values))

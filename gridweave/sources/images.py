@@ -214,3 +214,31 @@ def encode_images(df: DataFrame, kind: str, bits: int = 8, is_float: bool = Fals
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.binary())], ["path", "content"])
 
     return df.select("path", "width", "height", "channels", "samples").mapInArrow(run, "path string, content binary")
+
+
+def save_images(df: DataFrame, folder: str, kind: str, bits: int = 8, is_float: bool = False, compressed: bool = False) -> DataFrame:
+    """Write images as files of `folder`, a URI of a store that all executors reach; (path, bytes) of what was written.
+
+    A file is named after its image, so a task that runs again writes the same files; each is complete under another name
+    before it gets its own. Nothing is written until the result is used.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            out = []
+            for name, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                stem = name.replace("\\", "/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
+                path = f"{root}/{stem}.{kind}"
+                with store.open_output_stream(f"{root}/.{stem}.{kind}.part") as f:
+                    f.write(data)
+                store.move(f"{root}/.{stem}.{kind}.part", path)
+                out.append(path)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.compute.cast(pa.compute.binary_length(batch.column(1)), pa.int64())], ["path", "bytes"])
+
+    import pyarrow.compute  # noqa: F401
+
+    return encode_images(df, kind, bits, is_float, compressed).mapInArrow(run, "path string, bytes long")

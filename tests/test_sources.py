@@ -103,3 +103,21 @@ def test_bad_pixels_queue_and_constants(spark, tmp_path):
 def test_lens_profiles(spark, tmp_path):
     (tmp_path / "l.xml").write_text("<db><lens><maker>A</maker><model>50</model><mount>M</mount><cropfactor>1.5</cropfactor></lens></db>")
     assert documents.read_lens_profiles(spark, str(tmp_path / "l.xml")).first().cropfactor == 1.5
+
+
+def test_save_images_writes_whole_files(spark, tmp_path):
+    a = rng.integers(0, 256, (3, 4, 1))
+    df = spark.createDataFrame([(f"in/{k}.ppm", 4, 3, 1, [float(x) for x in a.ravel()]) for k in range(5)], "path string, width int, height int, channels int, samples array<float>").repartition(2)
+    rows = images.save_images(df, str(tmp_path / "out"), "png").collect()
+    assert len(rows) == 5 and sorted(p.name for p in (tmp_path / "out").iterdir()) == [f"{k}.png" for k in range(5)]
+    assert all((images.read_png(p.read_bytes())[0] == a).all() for p in (tmp_path / "out").iterdir())
+    assert {r.bytes for r in rows} == {(tmp_path / "out/0.png").stat().st_size}
+
+
+def test_sidecars_and_cache(spark):
+    files = spark.createDataFrame([("d/a.nef", "d", "a", 5), ("d/b.nef", "d", "b", 9), ("e/a.nef", "e", "a", 1)], "path string, dir string, base string, modified long")
+    side = spark.createDataFrame([("d/A.xmp", "d", "A")], "path string, dir string, base string")
+    assert {r.path: r.sidecar for r in documents.with_sidecars(files, side).collect()} == {"d/a.nef": "d/A.xmp", "d/b.nef": None, "e/a.nef": None}
+    cache = spark.createDataFrame([("d/a.nef", 5, 100), ("d/b.nef", 8, 200)], "path string, modified long, iso int")
+    got = {r.path: (r.fresh, r.iso) for r in documents.reuse_cached(files, cache, ["iso"]).collect()}
+    assert got == {"d/a.nef": (True, 100), "d/b.nef": (False, None), "e/a.nef": (False, None)}
