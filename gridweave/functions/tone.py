@@ -162,14 +162,14 @@ def _(spark, sf_dir):
     return rounded(df.withColumn("v", F.transform("a", lambda v: F.when(span > 0, (v - F.col("r.lo")) / span).otherwise(0.0))), "v")
 
 
-@register("ratio_plane", f"WITH {PX} SELECT img, y, x, round(CASE WHEN b > 0 THEN v * abs(v) / b ELSE v END, 6) AS v FROM px JOIN {blur_sql(1)} USING (img, y, x)")
+@register("ratio_plane", f"WITH {PX} SELECT img, y, x, round(CASE WHEN b > 0 THEN v * abs(v) / b ELSE v END, 6) + 0.0 AS v FROM px JOIN {blur_sql(1)} USING (img, y, x)")
 def _(spark, sf_dir):
     """Times a ratio of planes where its denominator is over 0."""
     df = box_blur(planes(spark, sf_dir), 1, out="g")
     return rounded(df.withColumn("v", F.zip_with("a", "g", lambda v, g: F.when(g > 0, v * F.abs(v) / g).otherwise(v))), "v")
 
 
-@register("shadows_highlights", f"WITH {PX} SELECT img, y, x, round(v + 0.3 * greatest(0.05 - b, 0) - 0.2 * greatest(b - 0.05, 0), 6) AS v, round(b, 6) AS map FROM px JOIN {blur_sql(2)} USING (img, y, x)")
+@register("shadows_highlights", f"WITH {PX} SELECT img, y, x, round(v + 0.3 * greatest(0.05 - b, 0) - 0.2 * greatest(b - 0.05, 0), 6) + 0.0 AS v, round(b, 6) + 0.0 AS map FROM px JOIN {blur_sql(2)} USING (img, y, x)")
 def _(spark, sf_dir):
     """A blurred map lifts the dark parts and lowers the light ones."""
     df = box_blur(planes(spark, sf_dir), 2, out="map")

@@ -63,12 +63,12 @@ def blur_sql(r: int, value: str = "v", source: str = "px") -> str:
     return f"(SELECT img, y, x, avg(h) OVER (PARTITION BY img, x ORDER BY y ROWS BETWEEN {r} PRECEDING AND {r} FOLLOWING) AS b FROM (SELECT img, y, x, avg({value}) OVER (PARTITION BY img, y ORDER BY x ROWS BETWEEN {r} PRECEDING AND {r} FOLLOWING) AS h FROM {source}))"
 
 
-@register("box_blur", f"WITH {PX} SELECT img, y, x, round(b, 6) AS b FROM {blur_sql(2)}")
+@register("box_blur", f"WITH {PX} SELECT img, y, x, round(b, 6) + 0.0 AS b FROM {blur_sql(2)}")
 def _(spark, sf_dir):
     return rounded(box_blur(planes(spark, sf_dir), 2), "b")
 
 
-@register("box_blur_abs", f"WITH {PX} SELECT img, y, x, round(b, 6) AS b FROM {blur_sql(1, 'abs(v)')}")
+@register("box_blur_abs", f"WITH {PX} SELECT img, y, x, round(b, 6) + 0.0 AS b FROM {blur_sql(1, 'abs(v)')}")
 def _(spark, sf_dir):
     return rounded(box_blur(hold(planes(spark, sf_dir), "a", F.transform("a", F.abs)), 1), "b")
 
@@ -98,12 +98,12 @@ def convolve(df: DataFrame, weights: dict[tuple[int, int], float], a: str = "a",
     return hold(df, out, each(" + ".join(f"{w!r}D * {at(a, dy, dx)}" for (dy, dx), w in weights.items()), a))
 
 
-@register("gaussian_3x3", f"WITH {PX} SELECT img, y, x, round(b, 6) AS b FROM {stencil_sql(gaussian(0.55, 1))}")
+@register("gaussian_3x3", f"WITH {PX} SELECT img, y, x, round(b, 6) + 0.0 AS b FROM {stencil_sql(gaussian(0.55, 1))}")
 def _(spark, sf_dir):
     return rounded(convolve(planes(spark, sf_dir), gaussian(0.55, 1)), "b")
 
 
-@register("gaussian_5x5", f"WITH {PX} SELECT img, y, x, round(b, 6) AS b FROM {stencil_sql(gaussian(0.8, 2))}")
+@register("gaussian_5x5", f"WITH {PX} SELECT img, y, x, round(b, 6) + 0.0 AS b FROM {stencil_sql(gaussian(0.8, 2))}")
 def _(spark, sf_dir):
     return rounded(convolve(planes(spark, sf_dir), gaussian(0.8, 2)), "b")
 
@@ -235,7 +235,7 @@ def _(spark, sf_dir):
     return rounded(df.withColumn("b", F.zip_with("a", "m", lambda v, m: (v + 1 - 1.5) / F.greatest(1 - 0.6 * m / 1.5, F.lit(0.1)) + 1.5)), "b")
 
 
-@register("contrast_mask", f"WITH {PX}, g AS (SELECT p.img, p.y, p.x, sqrt((a.v - b.v) ** 2 + (c.v - d.v) ** 2) AS g FROM px p JOIN px a ON a.img = p.img AND a.y = p.y AND a.x = least(p.x + 1, 7) JOIN px b ON b.img = p.img AND b.y = p.y AND b.x = greatest(p.x - 1, 0) JOIN px c ON c.img = p.img AND c.x = p.x AND c.y = least(p.y + 1, 7) JOIN px d ON d.img = p.img AND d.x = p.x AND d.y = greatest(p.y - 1, 0)) SELECT img, y, x, round(b, 6) AS b FROM {blur_sql(1, '0.5 * (1 + (g * 16 / 0.2 - 16) / sqrt(1 + (g * 16 / 0.2 - 16) ** 2))', 'g')}")
+@register("contrast_mask", f"WITH {PX}, g AS (SELECT p.img, p.y, p.x, sqrt((a.v - b.v) ** 2 + (c.v - d.v) ** 2) AS g FROM px p JOIN px a ON a.img = p.img AND a.y = p.y AND a.x = least(p.x + 1, 7) JOIN px b ON b.img = p.img AND b.y = p.y AND b.x = greatest(p.x - 1, 0) JOIN px c ON c.img = p.img AND c.x = p.x AND c.y = least(p.y + 1, 7) JOIN px d ON d.img = p.img AND d.x = p.x AND d.y = greatest(p.y - 1, 0)) SELECT img, y, x, round(b, 6) + 0.0 AS b FROM {blur_sql(1, '0.5 * (1 + (g * 16 / 0.2 - 16) / sqrt(1 + (g * 16 / 0.2 - 16) ** 2))', 'g')}")
 def _(spark, sf_dir):
     """Gradient through a smooth step, blurred."""
     g = f"sqrt(power({at('a', 0, 1)} - {at('a', 0, -1)}, 2) + power({at('a', 1, 0)} - {at('a', -1, 0)}, 2))"
