@@ -85,6 +85,10 @@ class Network:
     def project(self, x: np.ndarray) -> np.ndarray:
         return np.matmul(x, self.inputs) + self.bias[:, None]
 
+    def project_words(self, words: list[bytes], chunk: int = 20_000) -> np.ndarray:
+        """Projections of many words, some at a time: their character runs take much more room than the result."""
+        return np.concatenate([self.project(self.embed(words[i : i + chunk])[0]) for i in range(0, len(words), chunk)], axis=1)
+
     def read(self, projected: np.ndarray, index: np.ndarray, mask: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Logits of windows (rows of word numbers), the states and the attention. Both directions take a step at a time."""
         n, length = index.shape
@@ -176,9 +180,8 @@ class Scorer:
         held, need = len(self.index), len(self.index) + len(new)
         if need > self.projected.shape[1]:
             self.projected = np.concatenate([self.projected, np.zeros((2, max(need, 2 * self.projected.shape[1]) - self.projected.shape[1], 3 * HIDDEN), np.float32)], axis=1)
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
-            self.projected[:, held + i : held + i + len(part)] = self.network.project(self.network.embed(part)[0])
+        if new:
+            self.projected[:, held:need] = self.network.project_words(new)
         self.index.update(zip(new, range(held, need), strict=True))
 
     def window_logits(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -219,7 +222,7 @@ def train(texts: list[str], y: np.ndarray, weights: np.ndarray, seed: int = 1, s
         if step < WARM:
             picks = np.concatenate([r.integers(a, b, size=min(3, b - a)) for a, b in zip(first, last, strict=True)])
         else:
-            projected = net.project(net.embed(known)[0])
+            projected = net.project_words(known)
             logits = np.concatenate([net.read(projected, ids[index[i : i + BLOCK]], mask[i : i + BLOCK])[0] for i in range(0, len(index), BLOCK)])
             top = np.array([a + int(logits[a:b].argmax()) for a, b in zip(first, last, strict=True)])
             picks = np.concatenate([top, r.integers(first, last)[y == 0]])
