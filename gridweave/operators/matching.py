@@ -1,7 +1,8 @@
 """Nearest, bracketing and grouping joins.
 
 A nearest match is one sorted pass a key: both sides are joined in a union, ordered together, and each row takes the last
-value below and the first above. Each side is shuffled once on its key, whatever the number of candidates.
+value below and the first above. Each side is shuffled once, on its key and a stretch of the order, whatever the number of
+candidates, and a key with very many rows is the work of many tasks.
 """
 
 from __future__ import annotations
@@ -11,10 +12,33 @@ from pyspark.sql import functions as F
 
 from ..registry import register, table
 
+#: Microseconds by which the events of a user are dealt.
+HOURS_6 = 6 * 3600 * 10**6
 EVENTS = "SELECT event_id, user_id, ts, value FROM events WHERE event_type = "
 
 
-def nearest(left: DataFrame, right: DataFrame, by: list[str], on: str, payload: str, tie: str = "below") -> DataFrame:
+def neighbours(df: DataFrame, by: list[str], on: str, found: Column, width: float, above: bool = True) -> DataFrame:
+    """`df` with `_below` and `_above`: the last non-null `found` at or before each row in the order of `on`, and the first at or after.
+
+    A key's rows are dealt by runs of `width` of `on`, so that a key with very many rows is many tasks' work. What runs
+    hand on to each other is a row a run: its first and its last `found`, carried over the runs in a small table.
+    """
+    df = df.withColumn("_run", F.floor(F.col(on) / F.lit(float(width)))).withColumn("_found", found)
+    ends = df.groupBy(*by, "_run").agg(F.max(F.when(F.col("_found").isNotNull(), F.struct(on, "_found"))).alias("_last"), F.min(F.when(F.col("_found").isNotNull(), F.struct(on, "_found"))).alias("_first"))
+    runs = Window.partitionBy(*by).orderBy("_run")
+    ends = ends.withColumn("_before", F.last("_last", True).over(runs.rowsBetween(Window.unboundedPreceding, -1))["_found"])
+    ends = ends.withColumn("_after", F.first("_first", True).over(runs.rowsBetween(1, Window.unboundedFollowing))["_found"])
+    w = Window.partitionBy(*by, "_run")
+    first = F.col("_found").isNull().cast("int")  # among equal places, what is found counts both ways
+    df = df.withColumn("_below", F.last("_found", True).over(w.orderBy(on, first).rowsBetween(Window.unboundedPreceding, 0)))
+    if above:
+        df = df.withColumn("_above", F.first("_found", True).over(w.orderBy(on, F.desc(first)).rowsBetween(0, Window.unboundedFollowing)))
+    df = df.join(ends.select(*by, "_run", "_before", "_after"), [*by, "_run"])
+    df = df.withColumn("_below", F.coalesce("_below", "_before"))
+    return df.withColumn("_above", F.coalesce("_above", "_after")) if above else df
+
+
+def nearest(left: DataFrame, right: DataFrame, by: list[str], on: str, payload: str, tie: str = "below", width: float = 1e18) -> DataFrame:
     """`left` with the `payload` of the right row of equal `by` whose `on` is nearest, null without one.
 
     `tie` says which side holds if both are as near. Of right rows with one value of `on`, the least payload holds.
@@ -23,10 +47,7 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str], on: str, payload:
     names = [c for c in left.columns if c not in by and c != on]
     l = left.select(*by, on, F.struct(*names).alias("_left"), F.lit(None).cast(least.schema["_payload"].dataType).alias("_payload"), F.lit(1).alias("_side"))  # noqa: E741
     r = least.select(*by, on, F.lit(None).cast(l.schema["_left"].dataType).alias("_left"), "_payload", F.lit(0).alias("_side"))
-    w = Window.partitionBy(*by)
-    found = F.when(F.col("_side") == 0, F.struct(on, "_payload"))
-    rows = (0, Window.unboundedFollowing)
-    both = l.unionByName(r).withColumn("_below", F.last(found, True).over(w.orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_above", F.first(found, True).over(w.orderBy(on, F.desc("_side")).rowsBetween(*rows)))
+    both = neighbours(l.unionByName(r), by, on, F.when(F.col("_side") == 0, F.struct(on, "_payload")), width)
     off = lambda c: F.abs(_number(F.col(c)[on]) - _number(F.col(on)))
     below_wins = F.col("_above").isNull() | ((off("_below") <= off("_above")) if tie == "below" else (off("_below") < off("_above")))
     return both.where("_side = 1").select(*by, on, *(F.col("_left")[c].alias(c) for c in names), F.when(F.col("_below").isNotNull() & below_wins, F.col("_below._payload")).otherwise(F.col("_above._payload")).alias(payload))
@@ -45,7 +66,7 @@ def _(spark, sf_dir):
     """For each purchase the user's error that is nearest in time, the earlier one on ties."""
     e = microseconds(table(spark, sf_dir, "events"))
     right = e.where("event_type = 'error'").select("user_id", "us", F.col("event_id").alias("template"))
-    return nearest(e.where("event_type = 'purchase'").select("user_id", "us", "event_id"), right, ["user_id"], "us", "template").select("event_id", "user_id", "template")
+    return nearest(e.where("event_type = 'purchase'").select("user_id", "us", "event_id"), right, ["user_id"], "us", "template", width=HOURS_6).select("event_id", "user_id", "template")
 
 
 def log_distance(a: tuple[Column, Column], b: tuple[Column, Column], weight: float = 1.0) -> Column:
@@ -70,7 +91,7 @@ def _(spark, sf_dir):
     """The nearest calibrated level of the same make; of two as near, the higher."""
     p = table(spark, sf_dir, "part")
     levels = p.where("p_partkey % 7 = 0").select("p_brand", (F.col("p_size") * 2).alias("p_size")).withColumn("level", F.col("p_size"))
-    return nearest(p.select("p_partkey", "p_brand", "p_size"), levels, ["p_brand"], "p_size", "level", "above").select("p_partkey", "p_size", "level")
+    return nearest(p.select("p_partkey", "p_brand", "p_size"), levels, ["p_brand"], "p_size", "level", "above", width=8).select("p_partkey", "p_size", "level")
 
 
 #: Smallest aperture key above the value -> scale.
@@ -179,8 +200,7 @@ def _(spark, sf_dir):
 
 @register("events_asof", "SELECT p.event_id, e.event_id AS before FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT user_id, ts, event_id FROM events WHERE event_type = 'click') e ON p.user_id = e.user_id AND p.ts >= e.ts")
 def _(spark, sf_dir):
-    """The last click at or before each purchase: one sort a user, no pairs."""
-    e = table(spark, sf_dir, "events").where("event_type IN ('click', 'purchase')")
-    w = Window.partitionBy("user_id").orderBy("ts", F.when(F.col("event_type") == "click", 0).otherwise(1), "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    click = F.when(F.col("event_type") == "click", F.col("event_id"))
-    return e.withColumn("before", F.last(click, True).over(w)).where("event_type = 'purchase'").select("event_id", "before")
+    """The last click at or before each purchase: one sort of each run of a user's events, no pairs."""
+    e = microseconds(table(spark, sf_dir, "events").where("event_type IN ('click', 'purchase')"))
+    found = neighbours(e, ["user_id"], "us", F.when(F.col("event_type") == "click", F.col("event_id")), HOURS_6, above=False)
+    return found.where("event_type = 'purchase'").select("event_id", F.col("_below").alias("before"))
