@@ -265,14 +265,15 @@ def build_lexicon(docs: DataFrame, bpe: WordBpe, size: int = LEXICON_WORDS) -> b
     the corpus; the words of all steps that fit come to the driver, and no more than those.
     """
     step = F.floor(F.log2("n") * 8).cast("int")
-    counts = common.materialise(common.count_words(docs).where(F.octet_length("word") <= LEXICON_BYTES).withColumn("step", step), "words")
-    fits, total = None, 0
-    for r in sorted(counts.groupBy("step").count().collect(), key=lambda r: -r["step"]):
-        total += r["count"]
-        if total > size:
-            break
-        fits = r["step"]
-    top = [] if fits is None else counts.where(F.col("step") >= fits).select("word").collect()
+    with common.Scratch(docs.sparkSession) as scratch:
+        counts = scratch.keep(common.count_words(docs).where(F.octet_length("word") <= LEXICON_BYTES).withColumn("step", step), "words")
+        fits, total = None, 0
+        for r in sorted(counts.groupBy("step").count().collect(), key=lambda r: -r["step"]):
+            total += r["count"]
+            if total > size:
+                break
+            fits = r["step"]
+        top = [] if fits is None else counts.where(F.col("step") >= fits).select("word").collect()
     return Lexicon.compile({p for r in top for p in bpe.pieces(r["word"]) if isinstance(p, bytes)}, bpe.merge)
 
 

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, scratch: common.Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of `edges`; the root is the smallest node that can be reached, itself included.
 
     Alternating large-star and small-star steps: each links a node's neighbours to the smallest of them. Both work with
     a minimum per node and a join, so a node with very many neighbours is a skewed join that Spark splits, never a
-    group in one task. Each round is written to the shared folder. It ends when a round changes nothing.
+    group in one task. Each round is written to `scratch`, where the result is read from. It ends when a round changes nothing.
     """
-    held = common.materialise(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+    held = scratch.keep(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
 
     def sign(df):
         return tuple(df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
@@ -29,7 +29,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small star: u and its smaller neighbours go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        held = common.materialise(small.where(F.col("u") != F.col("v")).distinct(), "edges")
+        held = scratch.keep(small.where(F.col("u") != F.col("v")).distinct(), "edges")
         after = sign(held)
         if after == before:
             break

@@ -13,7 +13,7 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, graph
@@ -21,6 +21,10 @@ from . import common, graph
 BITS, SEED = 64, 42
 #: Fingerprints that share a key are compared with each other up to so many; beyond that by common neighbours.
 DENSE = 64
+#: The same without an exact way, for which pairs within a large group would be too many links of one component.
+FEW = 64
+#: Rounds in which the fingerprints of a key that too many share are compared with one of them.
+HUBS = 4
 
 
 def shingles(text: str, n: int) -> list[bytes]:
@@ -104,55 +108,69 @@ def _flat(mask: int) -> Column:
     return F.lit(signed(mask)).cast("long")
 
 
-def links(classes: DataFrame, plan: list[tuple[int, list[tuple[int, int]], int]], accept: Callable[[Callable[[str], Column]], Column], extra: Sequence[str] = ()) -> DataFrame:
+def links(classes: DataFrame, plan: list[tuple[int, list[tuple[int, int]], int]], accept: Callable[[Callable[[str], Column]], Column], scratch: common.Scratch, extra: Sequence[str] = (), exact: bool = True) -> DataFrame:
     """Pairs (a, b) of the distinct fingerprints in `classes` (fp, *extra) that agree on a key of `plan`, keep its budgets and pass `accept`.
 
-    Keys that over DENSE fingerprints share make no pairs: these fingerprints are tied through common neighbours, values
-    one bit off or themselves. Two that share one differ in two bits at most, and all that do so share one. A value has
-    65 such fingerprints at most, so no group is large however many near copies there are. Within such a key `accept`
-    further compares each fingerprint with the key's smallest one.
+    Keys that many fingerprints share make no pairs. With `exact`, which holds beyond DENSE of them and for links at two bits or fewer, their
+    fingerprints are tied through common neighbours, values one bit off or themselves: two that share one differ in two
+    bits at most, and all that do so share one. A value has 65 such fingerprints at most, so no group is large however
+    many near copies there are. Otherwise, beyond FEW of them, each of the key's fingerprints is compared with the smallest one and
+    leaves if that passes; after HUBS rounds, or when FEW or fewer are left, those that no hub took are compared in pairs.
     """
-    keys = F.posexplode(F.array(*((F.col("more")[w - 1] if w else F.col("fp")).bitwiseAND(_flat(mask)) for mask, _, w in plan))).alias("k", "key")
-    held = classes.select("fp", *extra, keys)
-    sizes = common.materialise(held.groupBy("k", "key").agg(F.count("*").alias("n"), F.min("fp").alias("hub")).where("n > 1"), "keys")
-    shared = common.materialise(held.join(sizes, ["k", "key"]), "shared")
-
-    def pairs(left: DataFrame, right: DataFrame, on) -> DataFrame:
-        l, r = left.alias("l"), right.alias("r")  # noqa: E741
-        differ = F.col("l.fp").bitwiseXOR(F.col("r.fp"))
-        budget = F.lit(True)
+    budgets = any(x for _, x, _ in plan)
+    word = lambda w: F.col("more")[w - 1] if w else F.col("fp")
+    # Without budgets the number of the key need not go along: a hash of both is the key.
+    key = lambda i, mask, w: F.struct(F.lit(i if budgets else 0).alias("k"), (word(w).bitwiseAND(_flat(mask)) if budgets else F.xxhash64(F.lit(i), word(w).bitwiseAND(_flat(mask)))).alias("key"))
+    held = classes.select("fp", F.inline(F.array(*(key(i, mask, w) for i, (mask, _, w) in enumerate(plan)))))
+    sizes = scratch.keep(held.groupBy("k", "key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
+    shared = scratch.keep(held.join(sizes, ["k", "key"]), "shared")
+    known = lambda df: df.join(classes.select("fp", *extra), "fp") if extra else df
+
+    def passes(l: str, r: str) -> Column:  # noqa: E741
+        differ = F.col(f"{l}.fp").bitwiseXOR(F.col(f"{r}.fp"))
+        ok = accept(lambda c: F.col(f"{l}.{c}"), lambda c: F.col(f"{r}.{c}"))
         for j in range(max(len(x) for _, x, _ in plan)):
             masks = F.array(*(_flat(x[j][0]) for _, x, _ in plan))
             most = F.array(*(F.lit(x[j][1]) for _, x, _ in plan))
-            at = (F.col("l.k") + 1).cast("int")
-            budget = budget & (F.bit_count(differ.bitwiseAND(F.element_at(masks, at))) <= F.element_at(most, at))
-        side = lambda which: (lambda c: F.col(f"{which}.{c}"))
-        return l.join(r, on(l, r) & budget & accept(side("l"), side("r"))).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
-
-    same = (F.col("l.k") == F.col("r.k")) & (F.col("l.key") == F.col("r.key"))
-    few = shared.where(F.col("n") <= DENSE)
-    found = pairs(few, few, lambda l, r: same & (F.col("l.fp") < F.col("r.fp")))  # noqa: E741
-    many = shared.where(F.col("n") > DENSE)
-    hubs = many.where(F.col("fp") == F.col("hub"))
-    by_hub = pairs(many.where(F.col("fp") != F.col("hub")), hubs, lambda l, r: same)  # noqa: E741
-    near = F.concat(F.array(F.col("fp")), F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda j: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), j))))
-    close = many.select("fp").distinct().select("fp", F.explode(near).alias("value"))
-    middle = close.groupBy("value").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    tied = close.join(middle, "value").where(F.col("fp") != F.col("b")).select(F.col("fp").alias("a"), "b")
-    return found.unionByName(by_hub).unionByName(tied).distinct()
-
-
-def link_components(rows: DataFrame, plan, accept, extra: Sequence[str] = ()) -> DataFrame:
+            at = (F.col(f"{l}.k") + 1).cast("int")
+            ok = ok & (F.bit_count(differ.bitwiseAND(F.element_at(masks, at))) <= F.element_at(most, at))
+        return ok
+
+    def pairs(df: DataFrame) -> DataFrame:
+        same = (F.col("l.k") == F.col("r.k")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.fp") < F.col("r.fp"))
+        return df.alias("l").join(df.alias("r"), same & passes("l", "r")).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
+
+    dense = DENSE if exact else FEW
+    found = pairs(known(shared.where(F.col("n") <= dense)))
+    many = shared.where(F.col("n") > dense)
+    if exact:
+        near = F.concat(F.array(F.col("fp")), F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda j: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), j))))
+        close = many.select("fp").distinct().select("fp", F.explode(near).alias("value"))
+        middle = close.groupBy("value").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+        return found.unionByName(close.join(middle, "value").where(F.col("fp") != F.col("b")).select(F.col("fp").alias("a"), "b")).distinct()
+    many = scratch.keep(known(many.select("k", "key", "fp")), "dense")
+    for _ in range(HUBS):
+        hub = many.groupBy("k", "key").agg(F.min(F.struct("fp", *extra)).alias("r"), F.count("*").alias("n")).where(F.col("n") > dense).drop("n")
+        tried = scratch.keep(many.join(hub, ["k", "key"], "left").select("k", "key", F.struct("fp", *extra).alias("l"), "r", F.coalesce(accept(lambda c: F.col(c), lambda c: F.col(f"r.{c}")), F.lit(False)).alias("_takes")), "hubs")
+        found = found.unionByName(tried.where(F.col("_takes") & (F.col("l.fp") != F.col("r.fp"))).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b")))
+        many = tried.where(~F.col("_takes")).select("k", "key", "l.*")
+        if many.isEmpty():
+            break
+    return found.unionByName(pairs(many)).distinct()
+
+
+def link_components(rows: DataFrame, plan, accept, extra: Sequence[str] = (), exact: bool = True) -> DataFrame:
     """`rows` (doc_id, fp, ...) with component_id: the smallest doc_id among all rows whose fingerprints links connect.
 
     Equal fingerprints are one class from the start, so a large group of copies costs one row a task.
     """
-    first = [F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in extra)]
-    classes = common.materialise(rows.groupBy("fp").agg(*first), "classes")
-    roots = graph.components(links(classes, plan, accept, extra))
-    grouped = classes.select("fp", "first").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = common.materialise(grouped.join(least, "root").select("fp", "component_id"), "components")
+    with common.Scratch(rows.sparkSession) as scratch:
+        first = [F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in extra)]
+        classes = scratch.keep(rows.groupBy("fp").agg(*first), "classes")
+        roots = graph.components(links(classes, plan, accept, scratch, extra, exact), scratch)
+        grouped = classes.select("fp", "first").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+        least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
+        named = common.materialise(grouped.join(least, "root").select("fp", "component_id"), "components")
     return rows.join(named, "fp")
 
 
@@ -171,9 +189,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, k: int = 2, m: int = 7) -
 
 
 #: For similar_documents: words of a shingle, the Jaccard similarity that counts, and 64-bit words of its fingerprint.
-SHINGLE, SIMILAR, LONG = 5, 0.8, 6
-#: Of its segments, in each 64 bits, candidates agree on two of six.
-PARTS, CLEAN = 6, 2
+SHINGLE, SIMILAR, LONG = 5, 0.8, 8
+#: Of its segments, in each 64 bits, candidates agree on two of five: keys have 25 bits.
+PARTS, CLEAN = 5, 2
 
 
 def most_bits(similarity: float, bits: int) -> int:
@@ -189,9 +207,9 @@ def keep_one(docs: DataFrame, similarity: float = SIMILAR, shingle: int = SHINGL
     Texts of fewer words than a shingle are compared as a whole; texts without words are one group.
     """
     columns = docs.columns
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    whole = common.materialise(fingerprints(numbered.withColumnRenamed("doc_id", "_id").withColumn("doc_id", F.col("_id")), shingle, LONG, ["_row", "_id", *(c for c in columns if c != "doc_id")]), "texts")
-    rows = whole.select("doc_id", "fp", "more", "_row")
+    # A row is known by its id and a hash of its text, so that texts needn't be stored to find them again.
+    own = docs.withColumns({"_id": F.col("doc_id"), "_text": F.xxhash64(F.coalesce("text", F.lit("")))})
+    rows = common.materialise(fingerprints(own, shingle, LONG, ["_text"]), "fingerprints")
     most = most_bits(similarity, BITS * LONG)
 
     def accept(l, r):  # noqa: E741
@@ -201,7 +219,12 @@ def keep_one(docs: DataFrame, similarity: float = SIMILAR, shingle: int = SHINGL
         return off <= most
 
     # The class of a fingerprint takes part with all words of one of its texts: other texts with the same 64 bits are copies or near ones.
-    grouped = link_components(rows, combos(PARTS, CLEAN, LONG), accept, ["more"])
-    kept = grouped.groupBy("component_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "_row")).alias("best"))
-    stays = grouped.where(F.col("component_id").isNull()).select("_row").unionByName(kept.where(F.col("component_id").isNotNull()).select("best._row"))
-    return whole.join(stays, "_row", "left_semi").withColumn("doc_id", F.col("_id")).select(*columns)
+    grouped = link_components(rows, combos(PARTS, CLEAN, LONG), accept, ["more"], exact=False)
+    best = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "doc_id", "_text")).alias("best")
+    # Components of rows without ids have none themselves; these rows all stay.
+    kept = grouped.where(F.col("component_id").isNotNull()).groupBy("component_id").agg(best).select("best.doc_id", "best._text", F.lit(True).alias("_once"))
+    nameless = grouped.where(F.col("component_id").isNull()).select("doc_id", "_text", F.lit(False).alias("_once")).distinct()
+    stays = common.materialise(kept.unionByName(nameless), "stays").toDF("_s_id", "_s_text", "_once")
+    found = own.withColumn("_id", F.col("_id").cast("long")).join(stays, F.col("_id").eqNullSafe(F.col("_s_id")) & (F.col("_text") == F.col("_s_text")))
+    place = F.row_number().over(Window.partitionBy("_id", "_text").orderBy(F.lit(1)))
+    return found.withColumn("_place", place).where((F.col("_place") == 1) | ~F.col("_once")).select(*columns)

@@ -46,14 +46,15 @@ def test_fingerprints_match_brute_force(hard_docs):
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 7 * k) for k in range(200, 260)] + [(500, 500), (600, 601), (601, 600), (-5, 40)]
-    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    with common.Scratch(spark) as scratch:
+        got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
+        assert graph.components(spark.createDataFrame([], "a long, b long"), scratch).collect() == []
     nodes = {x for e in edges for x in e if e[0] != e[1]}
     want = brute_components(nodes, lambda a, b: (a, b) in edges or (b, a) in edges)
     least = defaultdict(list)
     for x, c in want.items():
         least[c].append(x)
     assert got == {x: min(least[c]) for x, c in want.items()}
-    assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
 def test_chains_hold_for_every_two_bits():
@@ -98,7 +99,9 @@ def test_hard_documents(hard_docs, no_docs):
     assert Counter(r.doc_id for r in kept.collect()) == Counter({r.doc_id: 1 for r in rows if r.doc_id not in (1, 2, 4)})
 
 
-def test_keep_one_keeps_one_of_each_group(spark):
+@pytest.mark.parametrize("few", [4, 2])
+def test_keep_one_keeps_one_of_each_group(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW", few)
     r = random.Random(7)
     rows, n = [], 0
     for g in range(30):
