@@ -57,21 +57,14 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, car
     taken in the order of rank while they fit. Up to CLOSING more, each the one whose size comes nearest to what is then
     left, close the sample as long as that brings the sum nearer.
 
-    A source without words has target 0. Repeated rows share their random number and count each for themselves. An
+    A source without words has target 0. Repeated rows share their random number and fate, and count each. An
     empty table gives an empty result; columns that are not named in `carry` are dropped.
     """
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(common.WORD)).cast("long")
-    own = docs.select(
-        F.monotonically_increasing_id().alias("_row"), common.doc_id(), F.col("source").cast("string").alias("source"), size.alias("size"),
-        random_unit(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_u"), *(F.col(c).alias(f"_carry_{c}") for c in carry),
-    )
-    stored = common.materialise(own, "mix")
-    carried = [f"_carry_{c}" for c in carry]
-    goals = targets(stored.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    goals = goals.withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    goals = goals.withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
-    goals = goals.withColumn("_p", F.when(F.col("source_size") > 0, F.col("_rest") / F.col("source_size")).otherwise(0.0))
-    goals = common.materialise(goals, "goals")
+    unit = random_unit(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    own = docs.select(common.doc_id(), F.col("source").cast("string").alias("source"), size.alias("size"), unit.alias("_u"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"), *(F.col(c).alias(f"_carry_{c}") for c in carry))
+    # Rows of one rank, id and text are alike: they are taken together or not at all.
+    order = ("_rank", "doc_id", "_h")
 
     def known(rows: DataFrame, facts: DataFrame) -> DataFrame:
         """Facts by source; Spark broadcasts them if they are small, and splits a hot source's rows otherwise."""
@@ -81,37 +74,44 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, car
     # Q / (1 + Q) of the rank Q = (u / (1 - u)) / (p / (1 - p)), which keeps the order within 0 and 1.
     odds = F.col("_u") * (1 - F.col("_p"))
     rank = odds / (odds + F.col("_p") * (1 - F.col("_u")))
-    ranked = lambda names: known(stored.select(*names), goals).withColumn("_rank", rank).withColumn("_bin", F.least(F.floor(F.col("_rank") * BINS), F.lit(BINS - 1)))
-    slim = ["_row", "doc_id", "source", "size", "_u"]
-    by_bin = Window.partitionBy("source").orderBy("_bin")
-    bins = known(ranked(slim).groupBy("source", "_bin").agg(F.sum("size").alias("_words")), goals.select("source", "_rest"))
-    bins = bins.withColumn("_sum", F.sum("_words").over(by_bin))
-    last = bins.where((F.col("_rest") > 0) & (F.col("_sum") > F.col("_rest"))).groupBy("source").agg(F.min("_bin").alias("_last"), F.min(F.col("_sum")).alias("_sum"), F.min_by("_words", "_bin").alias("_in_last"))
-    last = common.materialise(last.select("source", "_last", (F.col("_sum") - F.col("_in_last")).alias("_before")), "bins")
-
-    placed = lambda names: known(ranked(names), last)
-    in_last = F.col("_bin") == F.col("_last")
-    order = Window.partitionBy("source").orderBy("_rank", "doc_id", "_row")
-    edge = placed(slim).where(in_last).withColumn("_sum", F.col("_before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    edge = common.materialise(edge.select("_row", "doc_id", "source", "size", "_rank", (F.col("_sum") <= F.col("_rest")).alias("_fits")), "edge")
-    missing = known(last, goals.select("source", "_rest"))
-    missing = known(missing, edge.where("_fits").groupBy("source").agg(F.sum("size").alias("_edge")))
-    missing = missing.select("source", (F.col("_rest") - F.col("_before") - F.coalesce("_edge", F.lit(0))).alias("_missing"))
-    after = placed(slim).where(F.col("_bin") > F.col("_last")).select("_row", "doc_id", "source", "size", "_rank")
-    tail = edge.where(~F.col("_fits")).select("_row", "doc_id", "source", "size", "_rank")
-    chosen, unused = edge.where("_fits").select(F.col("_row").alias("_chosen")), after.unionByName(tail)
-    off = F.abs(F.col("size") - F.col("_missing"))
-    for _ in range(CLOSING):
-        best = known(unused, missing).where(off < F.col("_missing")).groupBy("source").agg(F.min(F.struct(off.alias("off"), "_rank", "doc_id", "_row", "size")).alias("_best"))
-        best = common.materialise(best.select("source", F.col("_best._row").alias("_chosen"), F.col("_best.size").alias("_size")), "closing")
-        chosen = chosen.unionByName(best.select("_chosen"))
-        unused = unused.join(best.select("_chosen"), F.col("_row") == F.col("_chosen"), "left_anti")
-        missing = known(missing, best.select("source", "_size")).select("source", (F.col("_missing") - F.coalesce("_size", F.lit(0))).alias("_missing"))
-
-    rows = placed(slim + carried).join(chosen, F.col("_row") == F.col("_chosen"), "left")
-    taken = F.col("_bin") < F.coalesce("_last", F.when(F.col("_p") > 0, BINS).otherwise(0))
-    copies = F.col("_whole") + (taken | F.col("_chosen").isNotNull()).cast("long")
-    rows = rows.withColumn("copies", copies)
+
+    def ranked(rows: DataFrame, goals: DataFrame) -> DataFrame:
+        return known(rows, goals).withColumn("_rank", rank).withColumn("_bin", F.least(F.floor(F.col("_rank") * BINS), F.lit(BINS - 1)))
+
+    with common.Scratch(docs.sparkSession) as scratch:
+        stored = scratch.keep(own.select("doc_id", "source", "size", "_u", "_h"), "mix")
+        goals = targets(stored.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+        goals = goals.withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+        goals = goals.withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
+        goals = goals.withColumn("_p", F.when(F.col("source_size") > 0, F.col("_rest") / F.col("source_size")).otherwise(0.0))
+        goals = scratch.keep(goals, "goals")
+        bins = known(ranked(stored, goals).groupBy("source", "_bin").agg(F.sum("size").alias("_words")), goals.select("source", "_rest"))
+        bins = bins.withColumn("_sum", F.sum("_words").over(Window.partitionBy("source").orderBy("_bin")))
+        over = bins.where((F.col("_rest") > 0) & (F.col("_sum") > F.col("_rest"))).groupBy("source").agg(F.min("_bin").alias("_last"), F.min(F.col("_sum")).alias("_sum"), F.min_by("_words", "_bin").alias("_in_last"))
+        last = scratch.keep(over.select("source", "_last", (F.col("_sum") - F.col("_in_last")).alias("_before")), "bins")
+        placed = known(ranked(stored, goals), last).select("doc_id", "source", "size", "_h", "_rank", "_bin", "_last", "_before", "_rest")
+
+        edge = placed.where(F.col("_bin") == F.col("_last")).withColumn("_sum", F.col("_before") + F.sum("size").over(Window.partitionBy("source").orderBy(*order)))
+        edge = scratch.keep(edge.select("source", "size", *order, "_sum", (F.col("_sum") <= F.col("_rest")).alias("_fits")), "edge")
+        cut = edge.where("_fits").groupBy("source").agg(F.max(F.struct(*order)).alias("_cut"), F.max("_sum").alias("_edge"))
+        after = placed.where(F.col("_bin") > F.col("_last")).select("source", "size", *order)
+        unused = after.unionByName(edge.where(~F.col("_fits")).select("source", "size", *order)).groupBy("source", *order).agg(F.sum("size").alias("size"))
+        unused = scratch.keep(unused, "unused")
+        facts = known(known(goals, last), cut).withColumn("_missing", F.col("_rest") - F.coalesce("_edge", "_before")).withColumn("_closing", F.expr("cast(array() as array<struct<doc_id: bigint, _h: bigint>>)"))
+        facts = scratch.keep(facts, "facts")
+        off = F.abs(F.col("size") - F.col("_missing"))
+        for _ in range(CLOSING):
+            open_ = known(unused, facts.select("source", "_missing", "_closing")).where((off < F.col("_missing")) & ~F.array_contains("_closing", F.struct("doc_id", "_h")))
+            best = open_.groupBy("source").agg(F.min(F.struct(off.alias("off"), *order, "size")).alias("_best"))
+            facts = known(facts, best).withColumn("_missing", F.col("_missing") - F.coalesce("_best.size", F.lit(0)))
+            more = F.concat("_closing", F.array(F.struct("_best.doc_id", "_best._h")))
+            facts = scratch.keep(facts.withColumn("_closing", F.when(F.col("_best").isNotNull(), more).otherwise(F.col("_closing"))).drop("_best"), "facts")
+        facts = common.materialise(facts.select("source", "source_size", "target", "_whole", "_p", "_last", "_cut", "_closing"), "facts")
+
+    # What a document's source is given decides for each document by itself: texts are neither stored nor moved.
+    in_order = (F.col("_bin") < F.coalesce("_last", F.when(F.col("_p") > 0, BINS).otherwise(0))) | F.coalesce((F.col("_bin") == F.col("_last")) & (F.struct(*order) <= F.col("_cut")), F.lit(False))
+    copies = F.col("_whole") + (in_order | F.array_contains("_closing", F.struct("doc_id", "_h"))).cast("long")
+    rows = ranked(own, facts).withColumn("copies", copies)
     return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(F.col(f"_carry_{c}").alias(c) for c in carry))
 
 
