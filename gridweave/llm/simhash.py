@@ -22,7 +22,7 @@ BITS, SEED = 64, 42
 #: Fingerprints that share a key are compared with each other up to so many; beyond that by common neighbours.
 DENSE = 64
 #: The same without an exact way, for which pairs within a large group would be too many links of one component.
-FEW = 64
+FEW = 4
 #: Rounds in which the fingerprints of a key that too many share are compared with one of them.
 HUBS = 4
 
