@@ -288,12 +288,22 @@ def _(spark, sf_dir):
     return p.select("p_partkey", *(c.cast("long").alias(n) for n, c in (("fw", fw), ("fh", fh), ("cw", cw), ("ch", ch))))
 
 
-@register("coordinate_transform", f"WITH {PX}, c AS (SELECT img, y, x, ((x - 3.5) / 1.1) * cos(0.2) - ((y - 3.5) / 1.1) * sin(0.2) AS xr, ((x - 3.5) / 1.1) * sin(0.2) + ((y - 3.5) / 1.1) * cos(0.2) AS yr FROM px WHERE img < 50) SELECT img, y, x, round(yr * (1 + 0.05 * (xr * xr + yr * yr) / 12.25) + 3.5, 6) AS sy, round(xr * (1 + 0.05 * (xr * xr + yr * yr) / 12.25) + 3.5, 6) AS sx, round(sqrt(x * x + y * y), 6) AS r FROM c")
-def _(spark, sf_dir):
-    """Where places come from, for images below 50, the query's own choice."""
+def coordinate_transform(df: DataFrame) -> DataFrame:
+    """Where places come from."""
     y, x = F.col("y"), F.col("x")
     sy, sx = geometry.transform(y, x, 8, 0.2, 0.05, 1.1)
-    return pixels(spark, sf_dir).where("img < 50").select("img", "y", "x", F.round(sy, 6).alias("sy"), F.round(sx, 6).alias("sx"), F.round(geometry.polar(y, x)[0], 6).alias("r"))
+    return df.select("img", "y", "x", F.round(sy, 6).alias("sy"), F.round(sx, 6).alias("sx"), F.round(geometry.polar(y, x)[0], 6).alias("r"))
+
+
+@register("coordinate_transform", f"WITH {PX}, c AS (SELECT img, y, x, ((x - 3.5) / 1.1) * cos(0.2) - ((y - 3.5) / 1.1) * sin(0.2) AS xr, ((x - 3.5) / 1.1) * sin(0.2) + ((y - 3.5) / 1.1) * cos(0.2) AS yr FROM px WHERE img < 50) SELECT img, y, x, round(yr * (1 + 0.05 * (xr * xr + yr * yr) / 12.25) + 3.5, 6) AS sy, round(xr * (1 + 0.05 * (xr * xr + yr * yr) / 12.25) + 3.5, 6) AS sx, round(sqrt(x * x + y * y), 6) AS r FROM c")
+def _(spark, sf_dir):
+    """For the images that the SQL covers; coordinate_transform_all has them all."""
+    return coordinate_transform(pixels(spark, sf_dir).where("img < 50"))
+
+
+@register("coordinate_transform_all")
+def _(spark, sf_dir):
+    return coordinate_transform(pixels(spark, sf_dir))
 
 
 @register("tile_planner", "SELECT p_partkey, CASE WHEN w <= 200 THEN 1 ELSE ceil((w - 32) / 168.0)::INT END AS n, CASE WHEN w <= 200 THEN w ELSE (ceil((w - 32)::DOUBLE / ceil((w - 32) / 168.0)) + ceil((w - 32)::DOUBLE / ceil((w - 32) / 168.0))::INT % 2)::INT END AS step FROM (SELECT p_partkey, p_size * 40 AS w FROM part)")

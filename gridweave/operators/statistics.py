@@ -179,12 +179,22 @@ def blend_factor(x: Column, threshold: Column | float) -> Column:
     return 0.5 * (1.0 + s / F.sqrt(1.0 + s * s))
 
 
-@register("auto_threshold", f"WITH {PX}, s AS (SELECT img, c, sum(0.5 * (1 + (abs(v) * 16.0 / (c / 100.0) - 16.0) / sqrt(1 + (abs(v) * 16.0 / (c / 100.0) - 16.0) ** 2))) AS s, count(*) AS n FROM px, range(1, 100) t(c) WHERE img < 60 GROUP BY ALL) SELECT img, coalesce(min(c) FILTER (s <= n / 100.0), 100)::INT AS threshold FROM s GROUP BY img")
-def _(spark, sf_dir):
+def auto_threshold(df: DataFrame) -> DataFrame:
     """The least of 99 thresholds at which the step's sum over the image is 1 % at most; all within the image's row."""
     total = lambda c: F.aggregate("a", F.lit(0.0), lambda s, v: s + blend_factor(F.abs(v), c / 100.0))
     fits = F.filter(F.sequence(F.lit(1), F.lit(99)), lambda c: total(c) <= F.size("a") / 100.0)
-    return planes(spark, sf_dir).where("img < 60").select("img", F.coalesce(F.get(fits, F.lit(0)), F.lit(100)).cast("int").alias("threshold"))
+    return df.select("img", F.coalesce(F.get(fits, F.lit(0)), F.lit(100)).cast("int").alias("threshold"))
+
+
+@register("auto_threshold", f"WITH {PX}, s AS (SELECT img, c, sum(0.5 * (1 + (abs(v) * 16.0 / (c / 100.0) - 16.0) / sqrt(1 + (abs(v) * 16.0 / (c / 100.0) - 16.0) ** 2))) AS s, count(*) AS n FROM px, range(1, 100) t(c) WHERE img < 60 GROUP BY ALL) SELECT img, coalesce(min(c) FILTER (s <= n / 100.0), 100)::INT AS threshold FROM s GROUP BY img")
+def _(spark, sf_dir):
+    """For the images that the SQL covers; auto_threshold_all has them all."""
+    return auto_threshold(planes(spark, sf_dir).where("img < 60"))
+
+
+@register("auto_threshold_all")
+def _(spark, sf_dir):
+    return auto_threshold(planes(spark, sf_dir))
 
 
 @register("dot_product", f"WITH {PX} SELECT a.img, round(sum(a.v * b.v), 6) AS dot FROM px a JOIN px b ON b.img = a.img + 1 AND a.y = b.y AND a.x = b.x GROUP BY a.img")

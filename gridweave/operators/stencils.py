@@ -123,10 +123,19 @@ def _(spark, sf_dir):
     return rounded(planes(spark, sf_dir).withColumn("b", each(median_of(window("a", 1)))), "b")
 
 
+def median5x5(df: DataFrame) -> DataFrame:
+    return rounded(df.withColumn("b", each(median_of(window("a", 2)))), "b")
+
+
 @register("median5x5", f"WITH {PX} SELECT img, y, x, round(m, 6) AS b FROM {neighbours_sql(2, 'median(q.v)')} WHERE img < 100")
 def _(spark, sf_dir):
-    """Five by five, for images below 100, which is the query's own choice of images."""
-    return rounded(planes(spark, sf_dir).where("img < 100").withColumn("b", each(median_of(window("a", 2)))), "b")
+    """Five by five, for the images that the SQL covers; median5x5_all has them all."""
+    return median5x5(planes(spark, sf_dir).where("img < 100"))
+
+
+@register("median5x5_all")
+def _(spark, sf_dir):
+    return median5x5(planes(spark, sf_dir))
 
 
 @register("median_plus", f"WITH {PX} SELECT p.img, p.y, p.x, round(median(q.v), 6) AS b FROM px p, (VALUES (0, 0), (-2, 0), (2, 0), (0, -2), (0, 2)) k(dy, dx) JOIN px q ON q.img = p.img AND q.y = CASE WHEN p.y + dy < 0 THEN p.y - dy WHEN p.y + dy > 7 THEN p.y - dy ELSE p.y + dy END AND q.x = CASE WHEN p.x + dx < 0 OR p.x + dx > 7 THEN p.x - dx ELSE p.x + dx END GROUP BY ALL")
@@ -179,13 +188,23 @@ def _(spark, sf_dir):
     return rounded(planes(spark, sf_dir).withColumn("b", each(body)), "b")
 
 
-@register("bad_pixel_interpolate", f"WITH {PX} SELECT p.img, p.y, p.x, round(CASE WHEN abs(p.v) > 0.3 AND p.y BETWEEN 2 AND 5 AND p.x BETWEEN 2 AND 5 THEN (SELECT sum((a.v + b.v) / 2 / (abs(a.v - b.v) + 0.01)) / sum(1 / (abs(a.v - b.v) + 0.01)) FROM (VALUES (0, 2), (2, 0), (2, 2), (2, -2)) k(dy, dx) JOIN px a ON a.img = p.img AND a.y = p.y + dy AND a.x = p.x + dx JOIN px b ON b.img = p.img AND b.y = p.y - dy AND b.x = p.x - dx) ELSE p.v END, 6) AS b FROM px p WHERE p.img < 200")
-def _(spark, sf_dir):
-    """Marked sites from pairs of same-coloured neighbours in four directions, each weighted by how little it changes. Images below 200, the query's own choice."""
+def bad_pixel_interpolate(df: DataFrame) -> DataFrame:
+    """Marked sites from pairs of same-coloured neighbours in four directions, each weighted by how little it changes."""
     pairs = [(at("a", dy, dx), at("a", -dy, -dx)) for dy, dx in ((0, 2), (2, 0), (2, 2), (2, -2))]
     top = " + ".join(f"({p} + {q}) / 2 / (abs({p} - {q}) + 0.01D)" for p, q in pairs)
     under = " + ".join(f"1 / (abs({p} - {q}) + 0.01D)" for p, q in pairs)
-    return rounded(planes(spark, sf_dir).where("img < 200").withColumn("b", each(f"if(abs(get(a, i)) > 0.3D and {inside(2)}, ({top}) / ({under}), get(a, i))")), "b")
+    return rounded(df.withColumn("b", each(f"if(abs(get(a, i)) > 0.3D and {inside(2)}, ({top}) / ({under}), get(a, i))")), "b")
+
+
+@register("bad_pixel_interpolate", f"WITH {PX} SELECT p.img, p.y, p.x, round(CASE WHEN abs(p.v) > 0.3 AND p.y BETWEEN 2 AND 5 AND p.x BETWEEN 2 AND 5 THEN (SELECT sum((a.v + b.v) / 2 / (abs(a.v - b.v) + 0.01)) / sum(1 / (abs(a.v - b.v) + 0.01)) FROM (VALUES (0, 2), (2, 0), (2, 2), (2, -2)) k(dy, dx) JOIN px a ON a.img = p.img AND a.y = p.y + dy AND a.x = p.x + dx JOIN px b ON b.img = p.img AND b.y = p.y - dy AND b.x = p.x - dx) ELSE p.v END, 6) AS b FROM px p WHERE p.img < 200")
+def _(spark, sf_dir):
+    """For the images that the SQL covers; bad_pixel_interpolate_all has them all."""
+    return bad_pixel_interpolate(planes(spark, sf_dir).where("img < 200"))
+
+
+@register("bad_pixel_interpolate_all")
+def _(spark, sf_dir):
+    return bad_pixel_interpolate(planes(spark, sf_dir))
 
 
 @register("guided_filter", f"WITH {PX}, s AS (SELECT img, y, x, v, v * v AS v2 FROM px), m AS (SELECT a.img, a.y, a.x, a.b AS m, b.b AS m2 FROM {blur_sql(1)} a JOIN {blur_sql(1, 'v2', 's')} b USING (img, y, x)), k AS (SELECT img, y, x, (m2 - m * m) / (m2 - m * m + 0.01) AS p, m * (1 - (m2 - m * m) / (m2 - m * m + 0.01)) AS q FROM m) SELECT img, y, x, round(p.b * v + q.b, 6) AS b FROM px JOIN {blur_sql(1, 'p', 'k')} p USING (img, y, x) JOIN {blur_sql(1, 'q', 'k')} q USING (img, y, x)")

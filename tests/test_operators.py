@@ -1,12 +1,15 @@
 """Operators against plain Python, and their edge cases."""
 
+import math
 import random
+import statistics as statistics_of
 
 import pytest
 from pyspark.sql import functions as F
 
+from gridweave import registry
 from gridweave.functions import colour, text
-from gridweave.operators import catalog, histograms, matching, statistics
+from gridweave.operators import catalog, fixtures, histograms, matching, statistics
 
 
 def one(spark, **columns):
@@ -130,3 +133,54 @@ def test_student_t(spark):
 def test_surface_fit(spark):
     df = spark.range(100).select((F.col("id") % 10).alias("x"), F.floor(F.col("id") / 10).alias("y")).withColumn("v", 1.0 + 2 * F.col("x") - 3 * F.col("y") + 0.5 * F.col("x") * F.col("y"))
     assert statistics.fit_plane(df, "x", "y", "v").tolist() == pytest.approx([1, 2, -3, 0.5])
+
+
+def brute_images(spark, sf_dir):
+    return {r.img: r.a for r in fixtures.planes(spark, sf_dir).collect()}
+
+
+def test_median5x5_covers_all_images(spark, sf_dir):
+    images = brute_images(spark, sf_dir)
+    got = {(r.img, r.y, r.x): r.b for r in registry.QUERIES["median5x5_all"].run(spark, sf_dir).collect()}
+    assert len(got) == 64 * len(images)
+    for img in (min(images), 99, 100, max(images)):
+        a = images[img]
+        for y in range(8):
+            for x in range(8):
+                around = [a[v * 8 + u] for v in range(max(0, y - 2), min(8, y + 3)) for u in range(max(0, x - 2), min(8, x + 3))]
+                assert got[img, y, x] == pytest.approx(statistics_of.median(around), abs=2e-6)
+
+
+def test_bad_pixel_interpolate_covers_all_images(spark, sf_dir):
+    images = brute_images(spark, sf_dir)
+    got = {(r.img, r.y, r.x): r.b for r in registry.QUERIES["bad_pixel_interpolate_all"].run(spark, sf_dir).collect()}
+    assert len(got) == 64 * len(images)
+    for img in (min(images), 199, 200, max(images)):
+        a = images[img]
+        for y in range(8):
+            for x in range(8):
+                want = a[y * 8 + x]
+                if abs(want) > 0.3 and 2 <= y <= 5 and 2 <= x <= 5:
+                    pairs = [(a[(y + dy) * 8 + x + dx], a[(y - dy) * 8 + x - dx]) for dy, dx in ((0, 2), (2, 0), (2, 2), (2, -2))]
+                    want = sum((p + q) / 2 / (abs(p - q) + 0.01) for p, q in pairs) / sum(1 / (abs(p - q) + 0.01) for p, q in pairs)
+                assert got[img, y, x] == pytest.approx(want, abs=2e-6)
+
+
+def test_auto_threshold_covers_all_images(spark, sf_dir):
+    images = brute_images(spark, sf_dir)
+    got = {r.img: r.threshold for r in registry.QUERIES["auto_threshold_all"].run(spark, sf_dir).collect()}
+    assert got.keys() == images.keys()
+    step = lambda v, c: 0.5 * (1 + (s := abs(v) * 16 / (c / 100) - 16) / math.sqrt(1 + s * s))
+    for img in (min(images), 59, 60, max(images)):
+        assert got[img] == next((c for c in range(1, 100) if sum(step(v, c) for v in images[img]) <= 0.64), 100)
+
+
+def test_coordinate_transform_covers_all_images(spark, sf_dir):
+    images = brute_images(spark, sf_dir)
+    rows = registry.QUERIES["coordinate_transform_all"].run(spark, sf_dir).collect()
+    assert len(rows) == 64 * len(images) and {r.img for r in rows} == images.keys()
+    for r in (r for r in rows if r.img in (49, 50, max(images))):
+        u, v = (r.x - 3.5) / 1.1, (r.y - 3.5) / 1.1
+        xr, yr = u * math.cos(0.2) - v * math.sin(0.2), u * math.sin(0.2) + v * math.cos(0.2)
+        k = 1 + 0.05 * (xr * xr + yr * yr) / 12.25
+        assert (r.sy, r.sx, r.r) == pytest.approx((yr * k + 3.5, xr * k + 3.5, math.hypot(r.x, r.y)), abs=2e-6)
