@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..registry import register, table
 from .fixtures import CATALOG, catalog
 
@@ -86,6 +87,11 @@ def _(spark, sf_dir):
     return sort_catalog(catalog(spark, sf_dir), "focal", True).limit(50).select("id", "name", "focal")
 
 
+@register("catalog_sort_descending_all")
+def _(spark, sf_dir):
+    return sort_catalog(catalog(spark, sf_dir), "focal", True).select("id", "name", "focal")
+
+
 def originals(df: DataFrame, base: str, extension: str, order: Sequence[str]) -> DataFrame:
     """Each row with the original of its base: the one whose extension comes first in `order`; an unknown extension comes first of all, then the smaller id.
 
@@ -130,6 +136,23 @@ def _(spark, sf_dir):
     return top.withColumn("place", F.row_number().over(Window.orderBy((~F.col("selected")).cast("int"), "event_id")).cast("long"))
 
 
+def placed(df: DataFrame, *order: Column | str) -> DataFrame:
+    """`df` with each row's place from 1: a range-partitioned sort, numbered within partitions from where the one before ends."""
+    rows = scratch.keep(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("_at", 33)
+    ends = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row a partition
+    starts = ends.withColumn("_start", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
+    place = F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("place", place).drop("_part", "_at", "_start")
+
+
+@register("queue_to_head_all")
+def _(spark, sf_dir):
+    """The whole queue in its new order."""
+    df = table(spark, sf_dir, "events").select("event_id", (F.col("event_type") == "error").alias("selected"))
+    return placed(df, (~F.col("selected")).cast("int"), "event_id")
+
+
 @register("preview_order", "SELECT DISTINCT source AS dir, lang AS name FROM documents ORDER BY 1, 2")
 def _(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("source").alias("dir"), F.col("lang").alias("name")).distinct().orderBy("dir", "name")

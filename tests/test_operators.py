@@ -184,3 +184,16 @@ def test_coordinate_transform_covers_all_images(spark, sf_dir):
         xr, yr = u * math.cos(0.2) - v * math.sin(0.2), u * math.sin(0.2) + v * math.cos(0.2)
         k = 1 + 0.05 * (xr * xr + yr * yr) / 12.25
         assert (r.sy, r.sx, r.r) == pytest.approx((yr * k + 3.5, xr * k + 3.5, math.hypot(r.x, r.y)), abs=2e-6)
+
+
+def test_queue_to_head_places_every_row(spark, sf_dir):
+    events = sorted((r.event_type != "error", r.event_id) for r in registry.table(spark, sf_dir, "events").collect())
+    got = registry.QUERIES["queue_to_head_all"].run(spark, sf_dir).collect()
+    assert len(events) > 200 and sorted((r.place, r.event_id, r.selected) for r in got) == [(i + 1, e, not other) for i, (other, e) in enumerate(events)]
+
+
+def test_catalog_sort_descending_sorts_the_whole_catalogue(spark, sf_dir):
+    rows = registry.QUERIES["catalog_sort_descending_all"].run(spark, sf_dir).collect()
+    parts = registry.table(spark, sf_dir, "part").collect()
+    want = sorted(((r.p_retailprice, r.p_name, r.p_partkey) for r in parts), reverse=True)
+    assert len(parts) > 50 and [(r.focal, r.name, r.id) for r in rows] == want
