@@ -8,8 +8,7 @@ budget for longer runs before its full distance counts.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from itertools import combinations
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -21,10 +20,12 @@ from . import common, graph
 BITS, SEED = 64, 42
 #: Fingerprints that share a key are compared with each other up to so many; beyond that by common neighbours.
 DENSE = 64
-#: The same without an exact way, for which pairs within a large group would be too many links of one component.
+#: Sets of shingles that share a key are compared in pairs up to so many; beyond that with hubs first.
 FEW = 4
-#: Rounds in which the fingerprints of a key that too many share are compared with one of them.
+#: Rounds in which the sets of a key that more share are compared with one of them.
 HUBS = 4
+#: Members of a key that one task compares with the ones outside its largest component.
+SALTED = 512
 
 
 def shingles(text: str, n: int) -> list[bytes]:
@@ -49,37 +50,20 @@ def majority(values: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(values), bitorder="little").view("<u8")[0])
 
 
-def remixed(values: np.ndarray, k: int) -> np.ndarray:
-    """Another 64 bits of each hash: a bijective mix, a different one for each k."""
-    x = values + np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, carry: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, fp, more, *carry): the fingerprint as a signed long, and `words - 1` further ones over remixed hashes.
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed long.
 
     A text without words, or null, has fingerprint zero; one of fewer words than a shingle has its one sequence.
     """
 
     def make() -> Callable:
-        def rows(batch):
-            got = [hashes(t, shingle) for t in common.texts_of(batch)]
-            return {
-                "doc_id": batch.column(0),
-                "fp": [signed(majority(h)) for h in got],
-                "more": [[signed(majority(remixed(h, k))) for k in range(1, words)] for h in got],
-            } | {c: batch.column(batch.schema.get_field_index(c)) for c in carry}
+        return lambda batch: {"doc_id": batch.column(0), "fp": [signed(majority(hashes(t, shingle))) for t in common.texts_of(batch)]}
 
-        return rows
-
-    schema = "doc_id long, fp long, more array<long>" + "".join(f", {c} {docs.select(c).schema[0].dataType.simpleString()}" for c in carry)
-    return common.map_texts(docs, [common.doc_id(), "text", *(c for c in carry if c != "text")], schema, make)
+    return common.map_texts(docs, [common.doc_id(), "text"], "doc_id long, fp long", make)
 
 
 def segments(m: int) -> list[int]:
@@ -99,32 +83,22 @@ def chains(k: int, m: int) -> list[tuple[int, list[tuple[int, int]], int]]:
     return out
 
 
-def combos(m: int, clean: int, words: int = 1) -> list[tuple[int, list, int]]:
-    """Every choice of `clean` of m segments of each of `words` 64-bit words: of words that differ in m - clean bits at most, one choice agrees."""
-    return [(sum(x), [], w) for w in range(words) for x in combinations(segments(m), clean)]
-
-
 def _flat(mask: int) -> Column:
     return F.lit(signed(mask)).cast("long")
 
 
-def links(classes: DataFrame, plan: list[tuple[int, list[tuple[int, int]], int]], accept: Callable[[Callable[[str], Column]], Column], scratch: common.Scratch, extra: Sequence[str] = (), exact: bool = True) -> DataFrame:
-    """Pairs (a, b) of the distinct fingerprints in `classes` (fp, *extra) that agree on a key of `plan`, keep its budgets and pass `accept`.
+def links(classes: DataFrame, plan: list[tuple[int, list[tuple[int, int]], int]], accept: Callable[[Callable[[str], Column]], Column], scratch: common.Scratch) -> DataFrame:
+    """Pairs (a, b) of the distinct fingerprints in `classes` (fp) that agree on a key of `plan`, keep its budgets and pass `accept`.
 
-    Keys that many fingerprints share make no pairs. With `exact`, which holds beyond DENSE of them and for links at two bits or fewer, their
+    Keys that many fingerprints share make no pairs. Beyond DENSE of them, which holds for links at two bits or fewer, their
     fingerprints are tied through common neighbours, values one bit off or themselves: two that share one differ in two
     bits at most, and all that do so share one. A value has 65 such fingerprints at most, so no group is large however
-    many near copies there are. Otherwise, beyond FEW of them, each of the key's fingerprints is compared with the smallest one and
-    leaves if that passes; after HUBS rounds, or when FEW or fewer are left, those that no hub took are compared in pairs.
+    many near copies there are.
     """
-    budgets = any(x for _, x, _ in plan)
-    word = lambda w: F.col("more")[w - 1] if w else F.col("fp")
-    # Without budgets the number of the key need not go along: a hash of both is the key.
-    key = lambda i, mask, w: F.struct(F.lit(i if budgets else 0).alias("k"), (word(w).bitwiseAND(_flat(mask)) if budgets else F.xxhash64(F.lit(i), word(w).bitwiseAND(_flat(mask)))).alias("key"))
-    held = classes.select("fp", F.inline(F.array(*(key(i, mask, w) for i, (mask, _, w) in enumerate(plan)))))
+    key = lambda i, mask: F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(_flat(mask)).alias("key"))
+    held = classes.select("fp", F.inline(F.array(*(key(i, mask) for i, (mask, _, _) in enumerate(plan)))))
     sizes = scratch.keep(held.groupBy("k", "key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
     shared = scratch.keep(held.join(sizes, ["k", "key"]), "shared")
-    known = lambda df: df.join(classes.select("fp", *extra), "fp") if extra else df
 
     def passes(l: str, r: str) -> Column:  # noqa: E741
         differ = F.col(f"{l}.fp").bitwiseXOR(F.col(f"{r}.fp"))
@@ -136,44 +110,33 @@ def links(classes: DataFrame, plan: list[tuple[int, list[tuple[int, int]], int]]
             ok = ok & (F.bit_count(differ.bitwiseAND(F.element_at(masks, at))) <= F.element_at(most, at))
         return ok
 
-    def pairs(df: DataFrame) -> DataFrame:
-        same = (F.col("l.k") == F.col("r.k")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.fp") < F.col("r.fp"))
-        return df.alias("l").join(df.alias("r"), same & passes("l", "r")).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
-
-    dense = DENSE if exact else FEW
-    found = pairs(known(shared.where(F.col("n") <= dense)))
-    many = shared.where(F.col("n") > dense)
-    if exact:
-        near = F.concat(F.array(F.col("fp")), F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda j: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), j))))
-        close = many.select("fp").distinct().select("fp", F.explode(near).alias("value"))
-        middle = close.groupBy("value").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-        return found.unionByName(close.join(middle, "value").where(F.col("fp") != F.col("b")).select(F.col("fp").alias("a"), "b")).distinct()
-    many = scratch.keep(known(many.select("k", "key", "fp")), "dense")
-    for _ in range(HUBS):
-        hub = many.groupBy("k", "key").agg(F.min(F.struct("fp", *extra)).alias("r"), F.count("*").alias("n")).where(F.col("n") > dense).drop("n")
-        tried = scratch.keep(many.join(hub, ["k", "key"], "left").select("k", "key", F.struct("fp", *extra).alias("l"), "r", F.coalesce(accept(lambda c: F.col(c), lambda c: F.col(f"r.{c}")), F.lit(False)).alias("_takes")), "hubs")
-        found = found.unionByName(tried.where(F.col("_takes") & (F.col("l.fp") != F.col("r.fp"))).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b")))
-        many = tried.where(~F.col("_takes")).select("k", "key", "l.*")
-        if many.isEmpty():
-            break
-    return found.unionByName(pairs(many)).distinct()
-
-
-def link_components(rows: DataFrame, plan, accept, extra: Sequence[str] = (), exact: bool = True) -> DataFrame:
+    few = shared.where(F.col("n") <= DENSE)
+    same = (F.col("l.k") == F.col("r.k")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.fp") < F.col("r.fp"))
+    found = few.alias("l").join(few.alias("r"), same & passes("l", "r")).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
+    near = F.concat(F.array(F.col("fp")), F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda j: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), j))))
+    close = shared.where(F.col("n") > DENSE).select("fp").distinct().select("fp", F.explode(near).alias("value"))
+    middle = close.groupBy("value").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return found.unionByName(close.join(middle, "value").where(F.col("fp") != F.col("b")).select(F.col("fp").alias("a"), "b")).distinct()
+
+
+def link_components(rows: DataFrame, plan, accept) -> DataFrame:
     """`rows` (doc_id, fp, ...) with component_id: the smallest doc_id among all rows whose fingerprints links connect.
 
     Equal fingerprints are one class from the start, so a large group of copies costs one row a task.
     """
     with common.Scratch(rows.sparkSession) as scratch:
-        first = [F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in extra)]
-        classes = scratch.keep(rows.groupBy("fp").agg(*first), "classes")
-        roots = graph.components(links(classes, plan, accept, scratch, extra, exact), scratch)
-        grouped = classes.select("fp", "first").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-        least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-        named = common.materialise(grouped.join(least, "root").select("fp", "component_id"), "components")
+        classes = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+        named = _name(classes, graph.components(links(classes, plan, accept, scratch), scratch), "fp")
     return rows.join(named, "fp")
 
 
+def _name(classes: DataFrame, roots: DataFrame, by: str) -> DataFrame:
+    """(by, component_id) of `classes` (by, first) from the (node, root) of those that links connect."""
+    grouped = classes.select(by, "first").join(roots, F.col(by) == F.col("node"), "left").select(by, "first", F.coalesce("root", by).alias("root"))
+    least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
+    return common.materialise(grouped.join(least, "root").select(by, "component_id"), "components")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, k: int = 2, m: int = 7) -> DataFrame:
     """(doc_id, fingerprint, component_id): fingerprints link at k differing bits or fewer.
 
@@ -188,38 +151,116 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, k: int = 2, m: int = 7) -
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For similar_documents: words of a shingle, the Jaccard similarity that counts, and 64-bit words of its fingerprint.
-SHINGLE, SIMILAR, LONG = 5, 0.8, 8
-#: Of its segments, in each 64 bits, candidates agree on two of five: keys have 25 bits.
-PARTS, CLEAN = 5, 2
+#: For keep_one: words of a shingle, and the Jaccard similarity that counts.
+SHINGLE, SIMILAR = 5, 0.8
+#: A key is the smallest values of the set under so many of the orders; so many keys. The last bits of all of them, two longs, are the sketch.
+ROWS, KEYS, ORDERS = 5, 25, 128
+#: Standard deviations by which the bits of two sketches may exceed what is expected of the similarity.
+SLACK = 8
+
+
+def _orders() -> tuple[np.ndarray, np.ndarray]:
+    r = np.random.default_rng(SEED)
+    return r.integers(0, 1 << 63, ORDERS, dtype="<u8") * np.uint64(2) + np.uint64(1), r.integers(0, 1 << 63, ORDERS, dtype="<u8")
 
 
-def most_bits(similarity: float, bits: int) -> int:
-    """Differing bits that two sets of this Jaccard similarity and like size are expected to have."""
-    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def minima(sets: list[np.ndarray]) -> np.ndarray:
+    """(sets, ORDERS): the smallest value of each set, which has one at least, under each order."""
+    values, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
+    out, held = np.empty((ORDERS, len(sets)), dtype="<u8"), np.empty_like(values)
+    for k, (factor, add) in enumerate(zip(*_orders(), strict=True)):
+        np.multiply(values, factor, out=held)
+        np.add(held, add, out=held)
+        np.minimum.reduceat(held, starts, out=out[k])
+    return out.T.copy()
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def keys_and_sketches(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From minima: KEYS longs and two longs a set."""
+    mixed = _mixed(least)
+    keys = np.empty((len(least), KEYS), dtype="<u8")
+    for b in range(KEYS):
+        x = np.full(len(least), b, dtype="<u8")
+        for j in range(ROWS):
+            x = _mixed(x + mixed[:, b * ROWS + j])
+        keys[:, b] = x
+    return keys.view("<i8"), np.packbits((mixed & np.uint64(1)).astype("u1"), axis=1, bitorder="little").view("<i8")
+
+
+def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, _text, row, same, keys, x, y, shingles): the distinct shingles' hashes, a hash of them all, keys and sketch. A text without words has the empty set and no key."""
+
+    def make() -> Callable:
+        def rows(batch):
+            got = [np.unique(hashes(t, shingle)) for t in common.texts_of(batch)]
+            some = [i for i, h in enumerate(got) if len(h)]
+            keys, sketch = keys_and_sketches(minima([got[i] for i in some])) if some else (np.empty((0, KEYS), "<i8"), np.empty((0, 2), "<i8"))
+            at = {i: n for n, i in enumerate(some)}
+            return {c: batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "_text", "row")} | {
+                "same": [signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)) for h in got],
+                "keys": [keys[at[i]] if i in at else [] for i in range(len(got))],
+                "x": [int(sketch[at[i], 0]) if i in at else 0 for i in range(len(got))],
+                "y": [int(sketch[at[i], 1]) if i in at else 0 for i in range(len(got))],
+                "shingles": [h.view("<i8") for h in got],
+            }
+
+        return rows
+
+    schema = "doc_id long, _text long, row long, same long, keys array<long>, x long, y long, shingles array<long>"
+    return common.map_texts(docs, [common.doc_id(), "_text", "row", "text"], schema, make)
+
+
+def alike(similarity: float) -> Column:
+    """Whether sizes and sketches of l and r leave the similarity possible: the sizes exactly, the sketches but for SLACK deviations."""
+    p = (1 - similarity) / 2
+    most = int(ORDERS * p + SLACK * (ORDERS * p * (1 - p)) ** 0.5)
+    off = F.bit_count(F.col("l.x").bitwiseXOR(F.col("r.x"))) + F.bit_count(F.col("l.y").bitwiseXOR(F.col("r.y")))
+    return (F.least("l.size", "r.size") >= similarity * F.greatest("l.size", "r.size")) & (off <= most)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of `pairs` (a, b), each once, whose sets (row, shingles) have the Jaccard similarity."""
+    both = pairs.distinct().join(sets.toDF("b", "_r"), "b").join(sets.toDF("a", "_l"), "a")
+    common_ = F.size(F.array_intersect("_l", "_r"))
+    return both.where(common_ >= similarity * (F.size("_l") + F.size("_r") - common_)).select("a", "b")
+
+
+def _pair(l: str, r: str) -> list[Column]:  # noqa: E741
+    return [F.greatest(l, r).alias("a"), F.least(l, r).alias("b")]
+
+
+def similar_roots(classes: DataFrame, sets: DataFrame, similarity: float, scratch: common.Scratch) -> DataFrame:
+    """(node, root) of the `classes` (row, keys, x, y, size) that pairs of the similarity which share a key connect."""
+    held = classes.select("row", "x", "y", "size", F.explode("keys").alias("key"))
+    sizes = scratch.keep(held.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
+    shared = scratch.keep(held.join(sizes, "key"), "shared")
+    pairs = shared.alias("l").join(shared.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.row") > F.col("r.row")) & alike(similarity))
+    return graph.components(verified(pairs.select(*_pair("l.row", "r.row")), sets, similarity), scratch)
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILAR, shingle: int = SHINGLE) -> DataFrame:
     """`docs` with one row of each group of near copies: the smallest doc_id's, and one row of those with equal ids.
 
-    A text's fingerprint has LONG words of 64 bits. Candidates agree on CLEAN of the PARTS segments of some word; they
-    are near copies if all bits together put their similarity at `similarity` or more.
+    Near copies are texts whose sets of shingles have the Jaccard similarity, which is computed for every candidate. Candidates
+    share a key: the smallest hashes of both sets under ROWS orders.
     Texts of fewer words than a shingle are compared as a whole; texts without words are one group.
     """
     columns = docs.columns
     # A row is known by its id and a hash of its text, so that texts needn't be stored to find them again.
     own = docs.withColumns({"_id": F.col("doc_id"), "_text": F.xxhash64(F.coalesce("text", F.lit("")))})
-    rows = common.materialise(fingerprints(own, shingle, LONG, ["_text"]), "fingerprints")
-    most = most_bits(similarity, BITS * LONG)
-
-    def accept(l, r):  # noqa: E741
-        off = F.bit_count(l("fp").bitwiseXOR(r("fp"))).cast("int")
-        for i in range(LONG - 1):
-            off = off + F.bit_count(l("more")[i].bitwiseXOR(r("more")[i])).cast("int")
-        return off <= most
-
-    # The class of a fingerprint takes part with all words of one of its texts: other texts with the same 64 bits are copies or near ones.
-    grouped = link_components(rows, combos(PARTS, CLEAN, LONG), accept, ["more"], exact=False)
+    with common.Scratch(docs.sparkSession) as scratch:
+        rows = scratch.keep(shingle_sets(own.withColumn("row", F.monotonically_increasing_id()), shingle), "sets")
+        # Equal sets are one class, known by the first of its rows.
+        firsts = rows.groupBy("same").agg(F.min("row").alias("row"), F.min("doc_id").alias("first"))
+        classes = scratch.keep(firsts.join(rows.select("row", "keys", "x", "y", F.size("shingles").alias("size")), "row"), "classes")
+        named = _name(classes, similar_roots(classes, rows.select("row", "shingles"), similarity, scratch), "row").join(classes.select("row", "same"), "row").drop("row")
+        grouped = common.materialise(rows.select("doc_id", "_text", "same").join(named, "same"), "grouped")
     best = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "doc_id", "_text")).alias("best")
     # Components of rows without ids have none themselves; these rows all stay.
     kept = grouped.where(F.col("component_id").isNotNull()).groupBy("component_id").agg(best).select("best.doc_id", "best._text", F.lit(True).alias("_once"))

@@ -118,3 +118,34 @@ def test_keep_one_keeps_one_of_each_group(spark, monkeypatch, few):
     for i, _, g in rows:
         first.setdefault(g, i)
     assert {x.source: x.doc_id for x in kept} == first
+
+
+def kept_of(spark, texts):
+    return {r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+
+
+def brute_kept(texts):
+    sets = [{simhash.xxhash.xxh64_intdigest(s, 42) for s in simhash.shingles(t, 5)} for t in texts]
+    roots = brute_components(range(len(texts)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    least = {}
+    for i, c in roots.items():
+        least[c] = min(i, least.get(c, i))
+    return set(least.values())
+
+
+def test_a_repeated_line_does_not_make_near_copies(spark):
+    r = random.Random(3)
+    texts = [" ".join([f"w{g}x{r.randrange(10**6)}" for _ in range(300)] + ["home about news contact login"] * 40) for g in range(6)]
+    texts.append(texts[0] + " " + "home about news contact login " * 5)
+    assert kept_of(spark, texts) == brute_kept(texts) == set(range(6))
+
+
+def test_pairs_above_the_similarity_are_found_and_others_stay(spark):
+    r = random.Random(4)
+    texts = []
+    for g in range(120):
+        words = [f"w{g}x{r.randrange(10**6)}" for _ in range(400)]
+        texts.append(" ".join(words))
+        at = r.choice([34, 38, 42, 46, 50, 60])  # words off the end: similarities around 0.8
+        texts.append(" ".join(words[at:] + [f"n{g}x{r.randrange(10**6)}" for _ in range(at)]))
+    assert kept_of(spark, texts) == brute_kept(texts)
