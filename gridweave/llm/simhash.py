@@ -236,12 +236,39 @@ def _pair(l: str, r: str) -> list[Column]:  # noqa: E741
 
 
 def similar_roots(classes: DataFrame, sets: DataFrame, similarity: float, scratch: common.Scratch) -> DataFrame:
-    """(node, root) of the `classes` (row, keys, x, y, size) that pairs of the similarity which share a key connect."""
+    """(node, root) of the `classes` (row, keys, x, y, size) that pairs of the similarity which share a key connect.
+
+    Of a key that over FEW share, only what can still connect something is compared. A round compares one member, the hub,
+    with all that are not yet in its component, and takes the hub out, as all of its pairs are now known. A key
+    whose members are all in one component is done. After HUBS rounds, the members outside the key's largest component are
+    compared with all members of other components: no pair is left out but within a component.
+    """
     held = classes.select("row", "x", "y", "size", F.explode("keys").alias("key"))
     sizes = scratch.keep(held.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
     shared = scratch.keep(held.join(sizes, "key"), "shared")
-    pairs = shared.alias("l").join(shared.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.row") > F.col("r.row")) & alike(similarity))
-    return graph.components(verified(pairs.select(*_pair("l.row", "r.row")), sets, similarity), scratch)
+    sets = scratch.keep(sets.join(shared.select("row").distinct(), "row", "left_semi"), "candidates")
+    few, many = shared.where(F.col("n") <= FEW), shared.where(F.col("n") > FEW).drop("n")
+    pairs = few.alias("l").join(few.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.row") > F.col("r.row")) & alike(similarity))
+    linked = scratch.keep(verified(pairs.select(*_pair("l.row", "r.row")), sets, similarity), "links")
+    for turn in range(HUBS + 1):
+        roots = graph.components(linked, scratch)
+        known = many.drop("root").join(roots, F.col("row") == F.col("node"), "left").withColumn("root", F.coalesce("root", "row")).drop("node")
+        apart = known.groupBy("key").agg(F.max(F.struct("root", "row", "x", "y", "size")).alias("r"), F.min("root").alias("_least")).where(F.col("r.root") != F.col("_least")).drop("_least")
+        many = scratch.keep(known.join(apart, "key"), "apart")
+        if many.isEmpty():
+            return roots
+        if turn < HUBS:
+            tried = many.select("key", F.struct("root", "row", "x", "y", "size").alias("l"), "r").where((F.col("l.root") != F.col("r.root")) & alike(similarity))
+            linked = scratch.keep(linked.unionByName(verified(tried.select(*_pair("l.row", "r.row")), sets, similarity)).distinct(), "links")
+            many = many.where(F.col("row") != F.col("r.row")).drop("r")
+    counted = many.groupBy("key", "root").agg(F.count("*").alias("n"))
+    largest = counted.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("_most"), F.ceil(F.sum("n") / SALTED).cast("int").alias("_salts"))
+    dealt = scratch.keep(many.drop("r").join(largest, "key"), "dealt")
+    left = dealt.where(F.col("root") != F.col("_most")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    right = dealt.withColumn("salt", F.pmod(F.xxhash64("row"), F.col("_salts")).cast("int"))
+    at = (F.col("l.key") == F.col("r.key")) & (F.col("l.salt") == F.col("r.salt")) & (F.col("l.root") != F.col("r.root")) & alike(similarity)
+    rest = left.alias("l").join(right.alias("r"), at).select(*_pair("l.row", "r.row"))
+    return graph.components(linked.unionByName(verified(rest, sets, similarity)), scratch)
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILAR, shingle: int = SHINGLE) -> DataFrame:

@@ -149,3 +149,20 @@ def test_pairs_above_the_similarity_are_found_and_others_stay(spark):
         at = r.choice([34, 38, 42, 46, 50, 60])  # words off the end: similarities around 0.8
         texts.append(" ".join(words[at:] + [f"n{g}x{r.randrange(10**6)}" for _ in range(at)]))
     assert kept_of(spark, texts) == brute_kept(texts)
+
+
+@pytest.mark.parametrize("rounds", [4, 1, 0])
+def test_large_groups_that_drift_are_one_component(spark, monkeypatch, rounds):
+    """Each copy is near to the next few alone; a common half gives all of them common keys."""
+    monkeypatch.setattr(simhash, "HUBS", rounds)
+    r = random.Random(5)
+    texts = []
+    for g in range(4):
+        words = [f"w{g}x{k}" for k in range(300)]
+        for step in range(25):
+            for k in range(12):
+                words[(step * 12 + k) % 150] = f"n{g}x{step}x{k}"
+            texts.append(" ".join(words))
+    r.shuffle(texts)
+    assert kept_of(spark, texts) == brute_kept(texts)
+    assert len(brute_kept(texts)) == 4
