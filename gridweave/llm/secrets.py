@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 RUN = r"[A-Za-z0-9_+/\-]{16,}={0,2}"
 CAPITALS = r"(?<![A-Za-z0-9])[A-Z0-9]{16,}(?![A-Za-z0-9])"
 SET = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_\-]?key|access[_\-]?key|auth)[\"']?[:=]+[\"']?([^\s\"']{6,})"
+#: The same up to a separator, and names of keys that something is set to, which are no runs.
+PART = SET.replace("([^", "([^,;&")
+NAME = r"(?i)(?<![A-Za-z0-9_+/\-])(?=[a-z0-9_\-]*(?:pass|pwd|secret|token|key|auth|credential|bearer|login))[a-z]+[0-9]{0,2}(?:[_\-][a-z]+[0-9]{0,2})*[\"']?[:=]+(?=[\"']?[^\s\"'])"
+#: Of a longer word, a candidate's features see so many characters to each side.
+NEAR = 100
 #: Words near a candidate that speak for and against a secret.
 FOR = r"(?i)pass|pwd|secret|token|key|auth|credential|bearer|login"
 AGAINST = r"(?i)example|sample|dummy|placeholder|commit|sha1|sha256|md5|checksum|digest|uuid|guid|order|tracking|invoice|isbn|card|phone|version|build"
@@ -156,24 +161,32 @@ def learn(findings: DataFrame) -> Forest:
 
 
 def found(docs: DataFrame, forest: Forest, text: str = "text") -> DataFrame:
-    """`docs` with `_found`: all candidates of each text as (at, word, value, score), `at` the number of the word from 0.
+    """`docs` with `_found`: all candidates of each text as (at, word, value, score), `at` the number of the word from 0. A word may hold several.
 
     A null or empty text has none.
     """
     words = F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+")
     is_candidate = lambda w: (F.length(w) >= 10) & (w.rlike(SET) | (w.rlike(RUN) & w.rlike("[0-9]")) | w.rlike(CAPITALS))
     spots = F.filter(F.transform("_words", lambda w, i: F.when(is_candidate(w), i)), lambda i: i.isNotNull())
-    set_to = lambda w: F.regexp_extract(w, SET, 1)
-    run = lambda w: F.regexp_extract(w, RUN, 0)
+    every = lambda w, pattern, group: F.regexp_extract_all(w, F.lit(pattern), F.lit(group))
+    bare = lambda values: F.transform(values, lambda v: F.regexp_replace(v, r"[.,;:)\]}>]+$", ""))
+
+    def values(word: Column) -> Column:
+        runs = F.when(word.rlike("[0-9]"), every(F.regexp_replace(word, NAME, " "), RUN, 0)).otherwise(F.array().cast("array<string>"))
+        return F.array_distinct(F.concat(bare(every(word, SET, 1)), bare(every(word, PART, 1)), runs, every(word, CAPITALS, 0)))
+
+    def near(word: Column, value: Column) -> Column:
+        start = F.greatest(F.call_function("instr", word, value) - NEAR, F.lit(1))
+        return F.when(F.length(word) <= 2 * NEAR, word).otherwise(F.substring(word, start, F.length(value) + 2 * NEAR))
 
     def whole(i: Column) -> Column:
         word = F.get("_words", i)
-        value = F.when(word.rlike(SET), F.regexp_replace(set_to(word), r"[.,;:)\]}>]+$", "")).when(word.rlike(RUN), run(word)).otherwise(F.regexp_extract(word, CAPITALS, 0))
         before = F.array_join(F.slice("_words", F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))), " ")
-        return F.struct(i.alias("at"), word.alias("word"), value.alias("value"), before.alias("before"), F.coalesce(F.get("_words", i + 1), F.lit("")).alias("after"))
+        after = F.coalesce(F.get("_words", i + 1), F.lit(""))
+        return F.transform(values(word), lambda v: F.struct(i.alias("at"), near(word, v).alias("word"), v.alias("value"), before.alias("before"), after.alias("after")))
 
     rows = docs.withColumn("_words", words).withColumn("_spots", spots)
-    rows = rows.withColumn("_found", F.transform("_spots", whole)).drop("_words", "_spots")
+    rows = rows.withColumn("_found", F.flatten(F.transform("_spots", whole))).drop("_words", "_spots")
     measured = lambda c: F.struct(c["at"].alias("at"), c["word"].alias("word"), c["value"].alias("value"), features(c["word"], c["value"], c["before"], c["after"]).alias("x"))
     rows = rows.withColumn("_found", F.transform(F.filter("_found", lambda c: F.length(c["value"]) > 0), measured))
     return rows.withColumn("_found", F.transform("_found", lambda c: F.struct(c["at"].alias("at"), c["word"].alias("word"), c["value"].alias("value"), forest.score(c["x"]).alias("score"))))
