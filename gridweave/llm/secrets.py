@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 RUN = r"[A-Za-z0-9_+/\-]{16,}={0,2}"
 CAPITALS = r"(?<![A-Za-z0-9])[A-Z0-9]{16,}(?![A-Za-z0-9])"
 SET = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_\-]?key|access[_\-]?key|auth)[\"']?[:=]+[\"']?([^\s\"']{6,})"
-#: The same up to a separator, and names of keys that something is set to, which are no runs.
+#: The words before a value that stands alone end in a key word with a separator, which may be a word of its own.
+ASSIGNED = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_\-]?key|access[_\-]?key|auth)[\"']? ?[:=]+[\"']?$"
+#: What SET finds, but up to a separator; and names of keys that something is set to, which are no runs.
 PART = SET.replace("([^", "([^,;&")
 NAME = r"(?i)(?<![A-Za-z0-9_+/\-])(?=[a-z0-9_\-]*(?:pass|pwd|secret|token|key|auth|credential|bearer|login))[a-z]+[0-9]{0,2}(?:[_\-][a-z]+[0-9]{0,2})*[\"']?[:=]+(?=[\"']?[^\s\"'])"
 #: Of a longer word, a candidate's features see so many characters to each side.
@@ -167,7 +169,10 @@ def found(docs: DataFrame, forest: Forest, text: str = "text") -> DataFrame:
     """
     words = F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+")
     is_candidate = lambda w: (F.length(w) >= 10) & (w.rlike(SET) | (w.rlike(RUN) & w.rlike("[0-9]")) | w.rlike(CAPITALS))
-    spots = F.filter(F.transform("_words", lambda w, i: F.when(is_candidate(w), i)), lambda i: i.isNotNull())
+    back = lambda i: F.concat_ws(" ", F.get("_words", i - 2), F.get("_words", i - 1))
+    alone = lambda w: F.regexp_replace(w, r"^[\"']+|[\"'.,;:)\]}>]+$", "")
+    is_value = lambda w, i: (F.length(w) >= 6) & F.substring(F.get("_words", i - 1), -2, 2).rlike("[:=]") & back(i).rlike(ASSIGNED) & (F.length(alone(w)) >= 6)
+    spots = F.filter(F.transform("_words", lambda w, i: F.when(is_candidate(w) | is_value(w, i), i)), lambda i: i.isNotNull())
     every = lambda w, pattern, group: F.regexp_extract_all(w, F.lit(pattern), F.lit(group))
     bare = lambda values: F.transform(values, lambda v: F.regexp_replace(v, r"[.,;:)\]}>]+$", ""))
 
@@ -183,7 +188,10 @@ def found(docs: DataFrame, forest: Forest, text: str = "text") -> DataFrame:
         word = F.get("_words", i)
         before = F.array_join(F.slice("_words", F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))), " ")
         after = F.coalesce(F.get("_words", i + 1), F.lit(""))
-        return F.transform(values(word), lambda v: F.struct(i.alias("at"), near(word, v).alias("word"), v.alias("value"), before.alias("before"), after.alias("after")))
+        # A value that stands alone is seen as if it were joined to its key word.
+        own = F.when(is_value(word, i), F.array(alone(word))).otherwise(F.array().cast("array<string>"))
+        seen = lambda v: F.when(is_value(word, i) & (v == alone(word)), F.concat(F.regexp_extract(back(i), ASSIGNED, 0), word)).otherwise(near(word, v))
+        return F.transform(F.array_distinct(F.concat(own, values(word))), lambda v: F.struct(i.alias("at"), seen(v).alias("word"), v.alias("value"), before.alias("before"), after.alias("after")))
 
     rows = docs.withColumn("_words", words).withColumn("_spots", spots)
     rows = rows.withColumn("_found", F.flatten(F.transform("_spots", whole))).drop("_words", "_spots")

@@ -89,3 +89,10 @@ def test_every_secret_of_a_word_is_found(spark, forest):
     assert "aws_access_key_id=" not in {r.value for r in rows}
     masked = {r.doc_id: r.text for r in secrets.redact(docs, forest).collect()}
     assert not [v for i, (_, want) in texts.items() for v in want if v in masked[i]]
+
+
+def test_a_value_apart_from_its_key_word_is_scored(spark, forest):
+    texts = {1: "password: hunter2!x9Q", 2: "host = a\npwd = Tr0ub4dor&3\n", 3: f'"secret": "{HEX}",', 4: "a password : hunter2!x9Q; then", 5: "the word password and hunter2!x9Q", 6: "auth: no"}
+    rows = secrets.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), forest).collect()
+    assert {(r.doc_id, r.word_index, r.value) for r in rows} == {(1, 1, "hunter2!x9Q"), (2, 5, "Tr0ub4dor&3"), (3, 1, HEX), (4, 3, "hunter2!x9Q")}
+    assert {r.doc_id for r in rows if r.secret} == {1, 2, 3, 4}
