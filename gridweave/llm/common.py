@@ -146,8 +146,8 @@ def lower_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def count_words(docs: DataFrame, flush: int = 400_000) -> DataFrame:
-    """(word, n) over all `docs`: A-Z in lower case, null texts have none.
+def count_words(docs: DataFrame, flush: int = 400_000, documents: bool = False) -> DataFrame:
+    """(word, n) over all `docs`: A-Z in lower case, null texts have none. `documents` adds a null word that each document has once.
 
     Each task adds up its own words and gives them out whenever it holds `flush` of them; the sum over the tasks is
     one shuffle of pre-aggregated rows, so that a very common word is a row a task, not a row an occurrence.
@@ -162,6 +162,8 @@ def count_words(docs: DataFrame, flush: int = 400_000) -> DataFrame:
             return got
 
         for part in text_slices(batches):
+            if documents:
+                held[None] += part.num_rows
             for text in texts_of(part):
                 held.update(lower_words(text))
             if len(held) > flush:
