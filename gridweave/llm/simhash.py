@@ -20,9 +20,7 @@ from . import common, graph
 BITS, SEED = 64, 42
 #: Fingerprints that share a key are compared with each other up to so many; beyond that by common neighbours.
 DENSE = 64
-#: Sets of shingles that share a key are compared in pairs up to so many; beyond that with hubs first.
-FEW = 4
-#: Rounds in which the sets of a key that more share are compared with one of them.
+#: Rounds in which the members of a key are compared with one of them, before what is left is compared block by block.
 HUBS = 4
 #: Members of a key that one task compares with the ones outside its largest component.
 SALTED = 512
@@ -153,26 +151,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, k: int = 2, m: int = 7) -
 
 #: For keep_one: words of a shingle, and the Jaccard similarity that counts.
 SHINGLE, SIMILAR = 5, 0.8
-#: A key is the smallest values of the set under so many of the orders; so many keys. The last bits of all of them, two longs, are the sketch.
-ROWS, KEYS, ORDERS = 5, 25, 128
-#: Standard deviations by which the bits of two sketches may exceed what is expected of the similarity.
-SLACK = 8
+#: A key is the smallest values of the set under so many of the orders; so many keys.
+ROWS, KEYS = 5, 25
+#: Bits of the long fingerprint, how many may differ, segments of the ring, and the longest chain that is looked at before all bits are.
+LONG, FAR, RING, CHAIN = 128, 40, 8, 3
+#: Bits of a text's hash that stand behind its id in a node.
+BEHIND = 56
 
 
 def _orders() -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(SEED)
-    return r.integers(0, 1 << 63, ORDERS, dtype="<u8") * np.uint64(2) + np.uint64(1), r.integers(0, 1 << 63, ORDERS, dtype="<u8")
+    return r.integers(0, 1 << 31, ROWS * KEYS, dtype="<u4") * np.uint32(2) + np.uint32(1), r.integers(0, 1 << 32, ROWS * KEYS, dtype="<u4")
 
 
 def minima(sets: list[np.ndarray]) -> np.ndarray:
-    """(sets, ORDERS): the smallest value of each set, which has one at least, under each order."""
+    """(sets, ROWS * KEYS): the smallest value of each set of 32-bit values, which has one at least, under each order."""
     values, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
-    out, held = np.empty((ORDERS, len(sets)), dtype="<u8"), np.empty_like(values)
+    out, held = np.empty((ROWS * KEYS, len(sets)), dtype="<u4"), np.empty_like(values)
     for k, (factor, add) in enumerate(zip(*_orders(), strict=True)):
         np.multiply(values, factor, out=held)
         np.add(held, add, out=held)
         np.minimum.reduceat(held, starts, out=out[k])
-    return out.T.copy()
+    return out.T.astype("<u8")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -181,54 +181,89 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def keys_and_sketches(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """From minima: KEYS longs and two longs a set."""
-    mixed = _mixed(least)
+def keys_of(least: np.ndarray) -> np.ndarray:
+    """KEYS longs a set, from its minima."""
     keys = np.empty((len(least), KEYS), dtype="<u8")
     for b in range(KEYS):
-        x = np.full(len(least), b, dtype="<u8")
+        x = np.full(len(least), b + 1, dtype="<u8")
         for j in range(ROWS):
-            x = _mixed(x + mixed[:, b * ROWS + j])
+            x = _mixed((x << np.uint64(1)) + _mixed(least[:, b * ROWS + j]))
         keys[:, b] = x
-    return keys.view("<i8"), np.packbits((mixed & np.uint64(1)).astype("u1"), axis=1, bitorder="little").view("<i8")
+    return keys.view("<i8")
+
+
+def node_of(doc_id: Column, text: Column) -> Column:
+    """A number for an id and a text that orders by id, null last: a component's smallest node names its smallest id."""
+    whole = F.coalesce(doc_id.cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)"))
+    behind = F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(F.lit((1 << BEHIND) - 1))
+    return (whole * F.lit(1 << BEHIND).cast("decimal(18,0)") + behind.cast("decimal(18,0)")).cast("decimal(38,0)")
 
 
 def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, _text, row, same, keys, x, y, shingles): the distinct shingles' hashes, a hash of them all, keys and sketch. A text without words has the empty set and no key."""
+    """(node, same, size, x, y, keys, shingles) from (node, text).
+
+    `same` is a hash of the set of distinct shingles, x and y its long fingerprint, `shingles` 32 bits of each one's hash.
+    A text without words has the empty set and no key.
+    """
 
     def make() -> Callable:
         def rows(batch):
             got = [np.unique(hashes(t, shingle)) for t in common.texts_of(batch)]
+            short = [(h >> np.uint64(32)).astype("<u4") for h in got]
             some = [i for i, h in enumerate(got) if len(h)]
-            keys, sketch = keys_and_sketches(minima([got[i] for i in some])) if some else (np.empty((0, KEYS), "<i8"), np.empty((0, 2), "<i8"))
+            keys = keys_of(minima([short[i] for i in some])) if some else np.empty((0, KEYS), "<i8")
             at = {i: n for n, i in enumerate(some)}
-            return {c: batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "_text", "row")} | {
+            return {
+                "node": batch.column(0),
                 "same": [signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)) for h in got],
+                "size": [len(h) for h in got],
+                "x": [signed(majority(h)) for h in got],
+                "y": [signed(majority(_mixed(h))) for h in got],
                 "keys": [keys[at[i]] if i in at else [] for i in range(len(got))],
-                "x": [int(sketch[at[i], 0]) if i in at else 0 for i in range(len(got))],
-                "y": [int(sketch[at[i], 1]) if i in at else 0 for i in range(len(got))],
-                "shingles": [h.view("<i8") for h in got],
+                "shingles": [h.view("<i4") for h in short],
             }
 
         return rows
 
-    schema = "doc_id long, _text long, row long, same long, keys array<long>, x long, y long, shingles array<long>"
-    return common.map_texts(docs, [common.doc_id(), "_text", "row", "text"], schema, make)
+    schema = "node decimal(38,0), same long, size int, x long, y long, keys array<long>, shingles array<int>"
+    return common.map_texts(docs, ["node", "text"], schema, make)
+
+
+def ring(k: int = FAR, m: int = RING, longest: int = CHAIN) -> list[list[tuple[int, int]]]:
+    """For each start in the ring of `m` segments, (mask over LONG bits, budget) of its chains of up to `longest` segments."""
+    width = LONG // m
+    part = [((1 << width) - 1) << (i * width) for i in range(m)]
+    return [[(sum(part[(i + j) % m] for j in range(n)), n * k // m) for n in range(1, longest + 1)] for i in range(m)]
 
 
-def alike(similarity: float) -> Column:
-    """Whether sizes and sketches of l and r leave the similarity possible: the sizes exactly, the sketches but for SLACK deviations."""
-    p = (1 - similarity) / 2
-    most = int(ORDERS * p + SLACK * (ORDERS * p * (1 - p)) ** 0.5)
-    off = F.bit_count(F.col("l.x").bitwiseXOR(F.col("r.x"))) + F.bit_count(F.col("l.y").bitwiseXOR(F.col("r.y")))
-    return (F.least("l.size", "r.size") >= similarity * F.greatest("l.size", "r.size")) & (off <= most)
+def close(similarity: float) -> Column:
+    """Whether l and r may have the similarity: by their sizes, by a chain of segments within its budgets, and by all bits.
+
+    Fingerprints of sets of similarity 0.8 differ in 15 % of the bits, 19 of LONG, with a standard deviation of 4: FAR is 5
+    of these away. If they differ in FAR bits at most, some start of the ring has all of its chains within the
+    proportional budgets, so only pairs with such a start are counted in full.
+    """
+    words = [F.col(f"l.{c}").bitwiseXOR(F.col(f"r.{c}")) for c in ("x", "y")]
+
+    def differ(mask: int) -> Column:
+        parts = [(w, mask >> (64 * i) & (1 << 64) - 1) for i, w in enumerate(words)]
+        counts = [F.bit_count(w.bitwiseAND(_flat(m))) for w, m in parts if m]
+        return counts[0] if len(counts) == 1 else counts[0] + counts[1]
+
+    chain = None
+    for start in ring():
+        fits = None
+        for mask, most in start:
+            fits = differ(mask) <= most if fits is None else fits & (differ(mask) <= most)
+        chain = fits if chain is None else chain | fits
+    return (F.least("l.size", "r.size") >= similarity * F.greatest("l.size", "r.size")) & chain & (differ((1 << LONG) - 1) <= FAR)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of `pairs` (a, b), each once, whose sets (row, shingles) have the Jaccard similarity."""
-    both = pairs.distinct().join(sets.toDF("b", "_r"), "b").join(sets.toDF("a", "_l"), "a")
-    common_ = F.size(F.array_intersect("_l", "_r"))
-    return both.where(common_ >= similarity * (F.size("_l") + F.size("_r") - common_)).select("a", "b")
+    """Those of `pairs` (a, b), each once, whose sets (node, shingles) have the Jaccard similarity."""
+    both = pairs.distinct().join(sets.toDF("a", "_l"), "a").join(sets.toDF("b", "_r"), "b")
+    shared = F.size(F.array_intersect("_l", "_r"))
+    return both.where(shared >= similarity * (F.size("_l") + F.size("_r") - shared)).select("a", "b")
 
 
 def _pair(l: str, r: str) -> list[Column]:  # noqa: E741
@@ -236,63 +271,66 @@ def _pair(l: str, r: str) -> list[Column]:  # noqa: E741
 
 
 def similar_roots(classes: DataFrame, sets: DataFrame, similarity: float, scratch: common.Scratch) -> DataFrame:
-    """(node, root) of the `classes` (row, keys, x, y, size) that pairs of the similarity which share a key connect.
+    """(node, root) of the `classes` (node, keys, x, y, size) that pairs of the similarity which share a key connect.
 
-    Of a key that over FEW share, only what can still connect something is compared. A round compares one member, the hub,
-    with all that are not yet in its component, and takes the hub out, as all of its pairs are now known. A key
-    whose members are all in one component is done. After HUBS rounds, the members outside the key's largest component are
-    compared with all members of other components: no pair is left out but within a component.
+    Only what can still connect something is compared. A round compares one member of each key, the hub, with all that are
+    not yet in its component, and takes the hub out, as all of its pairs are now known. A key whose members are all in
+    one component is done. After HUBS rounds, the members outside a key's largest component are compared with all members
+    of other components, in blocks: no pair is left out but within a component.
     """
-    held = classes.select("row", "x", "y", "size", F.explode("keys").alias("key"))
-    sizes = scratch.keep(held.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
-    shared = scratch.keep(held.join(sizes, "key"), "shared")
-    sets = scratch.keep(sets.join(shared.select("row").distinct(), "row", "left_semi"), "candidates")
-    few, many = shared.where(F.col("n") <= FEW), shared.where(F.col("n") > FEW).drop("n")
-    pairs = few.alias("l").join(few.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.row") > F.col("r.row")) & alike(similarity))
-    linked = scratch.keep(verified(pairs.select(*_pair("l.row", "r.row")), sets, similarity), "links")
+    held = classes.select("node", "x", "y", "size", F.explode("keys").alias("key"))
+    sizes = held.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    many = scratch.keep(held.join(sizes, "key"), "shared")
+    sets = scratch.keep(sets.join(many.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "candidates")
+    linked, roots = None, None
     for turn in range(HUBS + 1):
-        roots = graph.components(linked, scratch)
-        known = many.drop("root").join(roots, F.col("row") == F.col("node"), "left").withColumn("root", F.coalesce("root", "row")).drop("node")
-        apart = known.groupBy("key").agg(F.max(F.struct("root", "row", "x", "y", "size")).alias("r"), F.min("root").alias("_least")).where(F.col("r.root") != F.col("_least")).drop("_least")
+        if roots is None:
+            known = many.withColumn("root", F.col("node"))
+        else:
+            known = many.drop("root").join(roots.toDF("node", "_root"), "node", "left").withColumn("root", F.coalesce("_root", "node")).drop("_root")
+        apart = known.groupBy("key").agg(F.max(F.struct("root", "node", "x", "y", "size")).alias("r"), F.min("root").alias("_least")).where(F.col("r.root") != F.col("_least")).drop("_least")
         many = scratch.keep(known.join(apart, "key"), "apart")
-        if many.isEmpty():
-            return roots
-        if turn < HUBS:
-            tried = many.select("key", F.struct("root", "row", "x", "y", "size").alias("l"), "r").where((F.col("l.root") != F.col("r.root")) & alike(similarity))
-            linked = scratch.keep(linked.unionByName(verified(tried.select(*_pair("l.row", "r.row")), sets, similarity)).distinct(), "links")
-            many = many.where(F.col("row") != F.col("r.row")).drop("r")
+        if many.isEmpty() or turn == HUBS:
+            break
+        tried = many.select("key", F.struct("root", "node", "x", "y", "size").alias("l"), "r").where((F.col("l.root") != F.col("r.root")) & close(similarity))
+        found = verified(tried.select(*_pair("l.node", "r.node")), sets, similarity)
+        linked = scratch.keep(found if linked is None else linked.unionByName(found).distinct(), "links")
+        roots = graph.components(linked, scratch)
+        many = many.where(F.col("node") != F.col("r.node")).drop("r")
+    if many.isEmpty():
+        return roots if roots is not None else many.select("node", F.col("node").alias("root"))
     counted = many.groupBy("key", "root").agg(F.count("*").alias("n"))
     largest = counted.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("_most"), F.ceil(F.sum("n") / SALTED).cast("int").alias("_salts"))
     dealt = scratch.keep(many.drop("r").join(largest, "key"), "dealt")
     left = dealt.where(F.col("root") != F.col("_most")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
-    right = dealt.withColumn("salt", F.pmod(F.xxhash64("row"), F.col("_salts")).cast("int"))
-    at = (F.col("l.key") == F.col("r.key")) & (F.col("l.salt") == F.col("r.salt")) & (F.col("l.root") != F.col("r.root")) & alike(similarity)
-    rest = left.alias("l").join(right.alias("r"), at).select(*_pair("l.row", "r.row"))
-    return graph.components(linked.unionByName(verified(rest, sets, similarity)), scratch)
+    right = dealt.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("_salts")).cast("int"))
+    at = (F.col("l.key") == F.col("r.key")) & (F.col("l.salt") == F.col("r.salt")) & (F.col("l.root") != F.col("r.root")) & close(similarity)
+    rest = verified(left.alias("l").join(right.alias("r"), at).select(*_pair("l.node", "r.node")), sets, similarity)
+    return graph.components(rest if linked is None else linked.unionByName(rest), scratch)
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILAR, shingle: int = SHINGLE) -> DataFrame:
-    """`docs` with one row of each group of near copies: the smallest doc_id's, and one row of those with equal ids.
+    """`docs` with one row of each group of near copies: the smallest doc_id's, where null comes last, and one row of those with equal ids.
 
     Near copies are texts whose sets of shingles have the Jaccard similarity, which is computed for every candidate. Candidates
-    share a key: the smallest hashes of both sets under ROWS orders.
-    Texts of fewer words than a shingle are compared as a whole; texts without words are one group.
+    share a key, the smallest hashes of both sets under ROWS orders, and pass the pigeonring filter over long fingerprints.
+    Texts of fewer words than a shingle are compared as a whole; texts without words, null among them, are one group. An
+    empty table gives an empty result. All columns stay as they are, whatever their names.
     """
-    columns = docs.columns
-    # A row is known by its id and a hash of its text, so that texts needn't be stored to find them again.
-    own = docs.withColumns({"_id": F.col("doc_id"), "_text": F.xxhash64(F.coalesce("text", F.lit("")))})
+    whole = docs.select(F.struct("*").alias("doc"))
+    own = whole.select("doc", F.col("doc.text").alias("text"), node_of(F.col("doc.doc_id"), F.col("doc.text")).alias("node"))
     with common.Scratch(docs.sparkSession) as scratch:
-        rows = scratch.keep(shingle_sets(own.withColumn("row", F.monotonically_increasing_id()), shingle), "sets")
-        # Equal sets are one class, known by the first of its rows.
-        firsts = rows.groupBy("same").agg(F.min("row").alias("row"), F.min("doc_id").alias("first"))
-        classes = scratch.keep(firsts.join(rows.select("row", "keys", "x", "y", F.size("shingles").alias("size")), "row"), "classes")
-        named = _name(classes, similar_roots(classes, rows.select("row", "shingles"), similarity, scratch), "row").join(classes.select("row", "same"), "row").drop("row")
-        grouped = common.materialise(rows.select("doc_id", "_text", "same").join(named, "same"), "grouped")
-    best = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "doc_id", "_text")).alias("best")
-    # Components of rows without ids have none themselves; these rows all stay.
-    kept = grouped.where(F.col("component_id").isNotNull()).groupBy("component_id").agg(best).select("best.doc_id", "best._text", F.lit(True).alias("_once"))
-    nameless = grouped.where(F.col("component_id").isNull()).select("doc_id", "_text", F.lit(False).alias("_once")).distinct()
-    stays = common.materialise(kept.unionByName(nameless), "stays").toDF("_s_id", "_s_text", "_once")
-    found = own.withColumn("_id", F.col("_id").cast("long")).join(stays, F.col("_id").eqNullSafe(F.col("_s_id")) & (F.col("_text") == F.col("_s_text")))
-    place = F.row_number().over(Window.partitionBy("_id", "_text").orderBy(F.lit(1)))
-    return found.withColumn("_place", place).where((F.col("_place") == 1) | ~F.col("_once")).select(*columns)
+        rows = scratch.keep(shingle_sets(own, shingle), "sets")
+        # Equal sets are one class, known by the smallest of its nodes; their keys are equal, so any will do.
+        classes = scratch.keep(rows.groupBy("same", "x", "y", "size").agg(F.min("node").alias("node"), F.first("keys").alias("keys")), "classes")
+        roots = similar_roots(classes, rows.select("node", "shingles"), similarity, scratch).where(F.col("node") != F.col("root")).select("node")
+        stays = classes.select("node").join(roots, "node", "left_anti")
+        times = rows.groupBy("node").agg(F.count("*").alias("_times"))
+        stays = common.materialise(stays.join(times, "node").withColumnRenamed("node", "_node"), "stays")
+    found = own.drop("text").join(stays, F.col("node") == F.col("_node"))
+    once = found.where(F.col("_times") == 1).select("doc.*")
+    if stays.where(F.col("_times") > 1).isEmpty():
+        return once
+    # Of rows that repeat, each task keeps one before they meet.
+    repeated = found.where(F.col("_times") > 1).groupBy("node").agg(F.first("doc").alias("doc")).select("doc.*")
+    return once.unionAll(repeated)

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from gridweave.llm import common, graph, simhash
 
@@ -99,9 +100,9 @@ def test_hard_documents(hard_docs, no_docs):
     assert Counter(r.doc_id for r in kept.collect()) == Counter({r.doc_id: 1 for r in rows if r.doc_id not in (1, 2, 4)})
 
 
-@pytest.mark.parametrize("few", [4, 2])
-def test_keep_one_keeps_one_of_each_group(spark, monkeypatch, few):
-    monkeypatch.setattr(simhash, "FEW", few)
+@pytest.mark.parametrize("hubs", [4, 1])
+def test_keep_one_keeps_one_of_each_group(spark, monkeypatch, hubs):
+    monkeypatch.setattr(simhash, "HUBS", hubs)
     r = random.Random(7)
     rows, n = [], 0
     for g in range(30):
@@ -166,3 +167,47 @@ def test_large_groups_that_drift_are_one_component(spark, monkeypatch, rounds):
     r.shuffle(texts)
     assert kept_of(spark, texts) == brute_kept(texts)
     assert len(brute_kept(texts)) == 4
+
+
+def test_the_ring_keeps_all_pairs_within_the_distance(spark):
+    """Some start's chains are within their budgets whenever all bits are, wherever the differences lie; far pairs have none, mostly."""
+    r = random.Random(11)
+    rows, far = [], 0
+    for k in range(3000):
+        a, n = r.getrandbits(128), r.choice([0, 1, 5, 20, 39, 40, 41, 64])
+        spread = r.sample(range(128), n) if k % 2 else list(range(k % 64, min(128, k % 64 + n)))
+        b = a ^ sum(1 << j for j in spread)
+        low = (1 << 64) - 1
+        rows.append((len(spread), *(simhash.signed(v) for v in (a & low, a >> 64, b & low, b >> 64))))
+    df = spark.createDataFrame(rows, "n int, a long, b long, c long, d long")
+    pairs = df.selectExpr("n", "named_struct('x', a, 'y', b, 'size', 10) AS l", "named_struct('x', c, 'y', d, 'size', 10) AS r")
+    for x in pairs.withColumn("close", simhash.close(0.8)).collect():
+        assert x.close == (x.n <= simhash.FAR)
+    for _ in range(500):
+        d = r.getrandbits(128)
+        far += any(all((d & mask).bit_count() <= most for mask, most in start) for start in simhash.ring())
+    assert far < 150
+
+
+def test_repeated_rows_null_ids_and_clashing_names(spark):
+    rows = [(5, "a b c d e f g", "x"), (5, "a b c d e f g", "y"), (None, "h i j k l m n", "z"), (None, "h i j k l m n", "z"), (None, "a b c d e f g", "u"), (3, "q", "q"), (None, None, "v"), (9, "", "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string")
+    for name in ("node", "_node", "_times", "same", "x", "key", "root", "doc"):
+        docs = docs.withColumn(name, F.col("_id"))
+    kept = simhash.keep_one(docs)
+    assert kept.schema == docs.schema
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert got == {(5, "a b c d e f g"): 1, (None, "h i j k l m n"): 1, (3, "q"): 1, (9, ""): 1}
+
+
+def test_dense_keys_lose_no_pair(spark):
+    """Texts that share half their words have dense keys; the pairs of 0.8 among them are all found, by whichever path."""
+    r = random.Random(12)
+    shared = " ".join(f"s{k}" for k in range(200))
+    texts = []
+    for g in range(60):
+        own = [f"o{g}x{k}" for k in range(220)]
+        texts.append(shared + " " + " ".join(own))
+        at = r.choice([5, 10, 20, 60])
+        texts.append(shared + " " + " ".join(own[at:]))
+    assert kept_of(spark, texts) == brute_kept(texts)
