@@ -132,6 +132,11 @@ def map_texts(docs: DataFrame, columns: list[Column | str], schema: str, make: C
     return docs.select(*columns).mapInArrow(run, kind)
 
 
+def hold(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """`df` with a column that is computed once a row: the optimiser puts a plain column's expression into the lambda functions that use it, to be computed for every element, but moves none through a generator."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def column_list(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
