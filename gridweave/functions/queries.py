@@ -225,9 +225,9 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.round(text.shutter_parse(t), 6).alias("s"))
 
 
-@register("exposure_texts", "SELECT p_partkey, printf('%.1f', p_size / 8.0::DOUBLE) AS f, CASE WHEN abs((p_partkey % 7 - 3) / 4.0) < 0.005 THEN '' ELSE printf('%.2f', (p_partkey % 7 - 3) / 4.0::DOUBLE) END AS c FROM part WHERE p_size % 2 = 0")
+@register("exposure_texts", "SELECT p_partkey, printf('%.1f', p_size / 8.0::DOUBLE) AS f, CASE WHEN abs((p_partkey % 7 - 3) / 4.0) < 0.005 THEN '' ELSE printf('%.2f', (p_partkey % 7 - 3) / 4.0::DOUBLE) END AS c FROM part")
 def _(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_size % 2 = 0")
+    p = table(spark, sf_dir, "part")
     return p.select("p_partkey", text.aperture_text(F.col("p_size") / 8.0).alias("f"), text.compensation_text((F.col("p_partkey") % 7 - 3) / 4.0, True).alias("c"))
 
 
@@ -251,14 +251,14 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.extension(c).alias("ext"), text.base_name(c).alias("base"), F.md5(c).alias("key"), text.relative_path(c, "https:/").alias("rel"))
 
 
-@register("unique_names", "SELECT p_partkey, p_name || CASE WHEN r = 1 THEN '' ELSE '-' || (r - 1) END || '.tif' AS name FROM (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name, p_brand ORDER BY p_partkey) AS r FROM part) WHERE r <= 100")
+@register("unique_names", "SELECT p_partkey, CASE WHEN r <= 100 THEN p_name || CASE WHEN r = 1 THEN '' ELSE '-' || (r - 1) END || '.tif' END AS name FROM (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name, p_brand ORDER BY p_partkey) AS r FROM part)")
 def _(spark, sf_dir):
-    """A number is added to a name that is taken, up to 99."""
+    """A number is added to a name that is taken, up to 99; those beyond have no name."""
     from pyspark.sql import Window
 
     r = F.row_number().over(Window.partitionBy("p_name", "p_brand").orderBy("p_partkey"))
-    df = table(spark, sf_dir, "part").withColumn("r", r).where("r <= 100")
-    return df.select("p_partkey", F.concat("p_name", F.when(F.col("r") == 1, "").otherwise(F.concat(F.lit("-"), (F.col("r") - 1).cast("string"))), F.lit(".tif")).alias("name"))
+    df = table(spark, sf_dir, "part").withColumn("r", r)
+    return df.select("p_partkey", F.when(F.col("r") <= 100, F.concat("p_name", F.when(F.col("r") == 1, "").otherwise(F.concat(F.lit("-"), (F.col("r") - 1).cast("string"))), F.lit(".tif"))).alias("name"))
 
 
 @register("lens_normalise", "SELECT p_partkey, regexp_replace(p_name || ' - ' || p_type || ' -x', '\\s*-\\s*', '-', 'g') AS lens, CASE WHEN p_partkey % 9 = 0 THEN 'PS' WHEN p_partkey % 4 = 0 THEN 'HDR' ELSE 'STD' END AS kind FROM part")
@@ -295,13 +295,7 @@ def coordinate_transform(df: DataFrame) -> DataFrame:
     return df.select("img", "y", "x", F.round(sy, 6).alias("sy"), F.round(sx, 6).alias("sx"), F.round(geometry.polar(y, x)[0], 6).alias("r"))
 
 
-@register("coordinate_transform", f"WITH {PX}, c AS (SELECT img, y, x, ((x - 3.5) / 1.1) * cos(0.2) - ((y - 3.5) / 1.1) * sin(0.2) AS xr, ((x - 3.5) / 1.1) * sin(0.2) + ((y - 3.5) / 1.1) * cos(0.2) AS yr FROM px WHERE img < 50) SELECT img, y, x, round(yr * (1 + 0.05 * (xr * xr + yr * yr) / 12.25) + 3.5, 6) AS sy, round(xr * (1 + 0.05 * (xr * xr + yr * yr) / 12.25) + 3.5, 6) AS sx, round(sqrt(x * x + y * y), 6) AS r FROM c")
-def _(spark, sf_dir):
-    """For the images that the SQL covers; coordinate_transform_all has them all."""
-    return coordinate_transform(pixels(spark, sf_dir).where("img < 50"))
-
-
-@register("coordinate_transform_all")
+@register("coordinate_transform", f"WITH {PX}, c AS (SELECT img, y, x, ((x - 3.5) / 1.1) * cos(0.2) - ((y - 3.5) / 1.1) * sin(0.2) AS xr, ((x - 3.5) / 1.1) * sin(0.2) + ((y - 3.5) / 1.1) * cos(0.2) AS yr FROM px) SELECT img, y, x, round(yr * (1 + 0.05 * (xr * xr + yr * yr) / 12.25) + 3.5, 6) AS sy, round(xr * (1 + 0.05 * (xr * xr + yr * yr) / 12.25) + 3.5, 6) AS sx, round(sqrt(x * x + y * y), 6) AS r FROM c")
 def _(spark, sf_dir):
     return coordinate_transform(pixels(spark, sf_dir))
 

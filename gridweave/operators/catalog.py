@@ -82,12 +82,7 @@ def _(spark, sf_dir):
     return sort_catalog(catalog(spark, sf_dir), "rank").limit(100).select("id", "name", "rank")
 
 
-@register("catalog_sort_descending", f"WITH {CATALOG} SELECT id, name, focal FROM cat ORDER BY focal DESC, name DESC, id DESC LIMIT 50")
-def _(spark, sf_dir):
-    return sort_catalog(catalog(spark, sf_dir), "focal", True).limit(50).select("id", "name", "focal")
-
-
-@register("catalog_sort_descending_all")
+@register("catalog_sort_descending", f"WITH {CATALOG} SELECT id, name, focal FROM cat ORDER BY focal DESC, name DESC, id DESC")
 def _(spark, sf_dir):
     return sort_catalog(catalog(spark, sf_dir), "focal", True).select("id", "name", "focal")
 
@@ -128,14 +123,6 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "events").orderBy(priority.desc(), (F.col("value") > 50).cast("int"), "event_id").limit(25).select("event_id", "value", "event_type")
 
 
-@register("queue_to_head", "SELECT event_id, event_type = 'error' AS selected, row_number() OVER (ORDER BY (event_type <> 'error')::INT, event_id) AS place FROM events QUALIFY place <= 200")
-def _(spark, sf_dir):
-    """Selected jobs move to the head of the queue and keep their order."""
-    df = table(spark, sf_dir, "events").select("event_id", (F.col("event_type") == "error").alias("selected"))
-    top = df.orderBy((~F.col("selected")).cast("int"), "event_id").limit(200)
-    return top.withColumn("place", F.row_number().over(Window.orderBy((~F.col("selected")).cast("int"), "event_id")).cast("long"))
-
-
 def placed(df: DataFrame, *order: Column | str) -> DataFrame:
     """`df` with each row's place from 1: a range-partitioned sort, numbered within partitions from where the one before ends."""
     rows = scratch.keep(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "sorted")
@@ -146,9 +133,9 @@ def placed(df: DataFrame, *order: Column | str) -> DataFrame:
     return rows.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("place", place).drop("_part", "_at", "_start")
 
 
-@register("queue_to_head_all")
+@register("queue_to_head", "SELECT event_id, event_type = 'error' AS selected, row_number() OVER (ORDER BY (event_type <> 'error')::INT, event_id) AS place FROM events")
 def _(spark, sf_dir):
-    """The whole queue in its new order."""
+    """Selected jobs move to the head of the queue and keep their order; every job has its place."""
     df = table(spark, sf_dir, "events").select("event_id", (F.col("event_type") == "error").alias("selected"))
     return placed(df, (~F.col("selected")).cast("int"), "event_id")
 

@@ -186,13 +186,7 @@ def auto_threshold(df: DataFrame) -> DataFrame:
     return df.select("img", F.coalesce(F.get(fits, F.lit(0)), F.lit(100)).cast("int").alias("threshold"))
 
 
-@register("auto_threshold", f"WITH {PX}, s AS (SELECT img, c, sum(0.5 * (1 + (abs(v) * 16.0 / (c / 100.0) - 16.0) / sqrt(1 + (abs(v) * 16.0 / (c / 100.0) - 16.0) ** 2))) AS s, count(*) AS n FROM px, range(1, 100) t(c) WHERE img < 60 GROUP BY ALL) SELECT img, coalesce(min(c) FILTER (s <= n / 100.0), 100)::INT AS threshold FROM s GROUP BY img")
-def _(spark, sf_dir):
-    """For the images that the SQL covers; auto_threshold_all has them all."""
-    return auto_threshold(planes(spark, sf_dir).where("img < 60"))
-
-
-@register("auto_threshold_all")
+@register("auto_threshold", f"WITH {PX}, s AS (SELECT img, c, sum(0.5 * (1 + (abs(v) * 16.0 / (c / 100.0) - 16.0) / sqrt(1 + (abs(v) * 16.0 / (c / 100.0) - 16.0) ** 2))) AS s, count(*) AS n FROM px, range(1, 100) t(c) GROUP BY ALL) SELECT img, coalesce(min(c) FILTER (s <= n / 100.0), 100)::INT AS threshold FROM s GROUP BY img")
 def _(spark, sf_dir):
     return auto_threshold(planes(spark, sf_dir))
 

@@ -127,13 +127,7 @@ def median5x5(df: DataFrame) -> DataFrame:
     return rounded(df.withColumn("b", each(median_of(window("a", 2)))), "b")
 
 
-@register("median5x5", f"WITH {PX} SELECT img, y, x, round(m, 6) AS b FROM {neighbours_sql(2, 'median(q.v)')} WHERE img < 100")
-def _(spark, sf_dir):
-    """Five by five, for the images that the SQL covers; median5x5_all has them all."""
-    return median5x5(planes(spark, sf_dir).where("img < 100"))
-
-
-@register("median5x5_all")
+@register("median5x5", f"WITH {PX} SELECT img, y, x, round(m, 6) AS b FROM {neighbours_sql(2, 'median(q.v)')}")
 def _(spark, sf_dir):
     return median5x5(planes(spark, sf_dir))
 
@@ -196,13 +190,7 @@ def bad_pixel_interpolate(df: DataFrame) -> DataFrame:
     return rounded(df.withColumn("b", each(f"if(abs(get(a, i)) > 0.3D and {inside(2)}, ({top}) / ({under}), get(a, i))")), "b")
 
 
-@register("bad_pixel_interpolate", f"WITH {PX} SELECT p.img, p.y, p.x, round(CASE WHEN abs(p.v) > 0.3 AND p.y BETWEEN 2 AND 5 AND p.x BETWEEN 2 AND 5 THEN (SELECT sum((a.v + b.v) / 2 / (abs(a.v - b.v) + 0.01)) / sum(1 / (abs(a.v - b.v) + 0.01)) FROM (VALUES (0, 2), (2, 0), (2, 2), (2, -2)) k(dy, dx) JOIN px a ON a.img = p.img AND a.y = p.y + dy AND a.x = p.x + dx JOIN px b ON b.img = p.img AND b.y = p.y - dy AND b.x = p.x - dx) ELSE p.v END, 6) AS b FROM px p WHERE p.img < 200")
-def _(spark, sf_dir):
-    """For the images that the SQL covers; bad_pixel_interpolate_all has them all."""
-    return bad_pixel_interpolate(planes(spark, sf_dir).where("img < 200"))
-
-
-@register("bad_pixel_interpolate_all")
+@register("bad_pixel_interpolate", f"WITH {PX} SELECT p.img, p.y, p.x, round(CASE WHEN abs(p.v) > 0.3 AND p.y BETWEEN 2 AND 5 AND p.x BETWEEN 2 AND 5 THEN (SELECT sum((a.v + b.v) / 2 / (abs(a.v - b.v) + 0.01)) / sum(1 / (abs(a.v - b.v) + 0.01)) FROM (VALUES (0, 2), (2, 0), (2, 2), (2, -2)) k(dy, dx) JOIN px a ON a.img = p.img AND a.y = p.y + dy AND a.x = p.x + dx JOIN px b ON b.img = p.img AND b.y = p.y - dy AND b.x = p.x - dx) ELSE p.v END, 6) AS b FROM px p")
 def _(spark, sf_dir):
     return bad_pixel_interpolate(planes(spark, sf_dir))
 

@@ -141,7 +141,7 @@ def brute_images(spark, sf_dir):
 
 def test_median5x5_covers_all_images(spark, sf_dir):
     images = brute_images(spark, sf_dir)
-    got = {(r.img, r.y, r.x): r.b for r in registry.QUERIES["median5x5_all"].run(spark, sf_dir).collect()}
+    got = {(r.img, r.y, r.x): r.b for r in registry.QUERIES["median5x5"].run(spark, sf_dir).collect()}
     assert len(got) == 64 * len(images)
     for img in (min(images), 99, 100, max(images)):
         a = images[img]
@@ -153,7 +153,7 @@ def test_median5x5_covers_all_images(spark, sf_dir):
 
 def test_bad_pixel_interpolate_covers_all_images(spark, sf_dir):
     images = brute_images(spark, sf_dir)
-    got = {(r.img, r.y, r.x): r.b for r in registry.QUERIES["bad_pixel_interpolate_all"].run(spark, sf_dir).collect()}
+    got = {(r.img, r.y, r.x): r.b for r in registry.QUERIES["bad_pixel_interpolate"].run(spark, sf_dir).collect()}
     assert len(got) == 64 * len(images)
     for img in (min(images), 199, 200, max(images)):
         a = images[img]
@@ -168,7 +168,7 @@ def test_bad_pixel_interpolate_covers_all_images(spark, sf_dir):
 
 def test_auto_threshold_covers_all_images(spark, sf_dir):
     images = brute_images(spark, sf_dir)
-    got = {r.img: r.threshold for r in registry.QUERIES["auto_threshold_all"].run(spark, sf_dir).collect()}
+    got = {r.img: r.threshold for r in registry.QUERIES["auto_threshold"].run(spark, sf_dir).collect()}
     assert got.keys() == images.keys()
     step = lambda v, c: 0.5 * (1 + (s := abs(v) * 16 / (c / 100) - 16) / math.sqrt(1 + s * s))
     for img in (min(images), 59, 60, max(images)):
@@ -177,7 +177,7 @@ def test_auto_threshold_covers_all_images(spark, sf_dir):
 
 def test_coordinate_transform_covers_all_images(spark, sf_dir):
     images = brute_images(spark, sf_dir)
-    rows = registry.QUERIES["coordinate_transform_all"].run(spark, sf_dir).collect()
+    rows = registry.QUERIES["coordinate_transform"].run(spark, sf_dir).collect()
     assert len(rows) == 64 * len(images) and {r.img for r in rows} == images.keys()
     for r in (r for r in rows if r.img in (49, 50, max(images))):
         u, v = (r.x - 3.5) / 1.1, (r.y - 3.5) / 1.1
@@ -188,12 +188,12 @@ def test_coordinate_transform_covers_all_images(spark, sf_dir):
 
 def test_queue_to_head_places_every_row(spark, sf_dir):
     events = sorted((r.event_type != "error", r.event_id) for r in registry.table(spark, sf_dir, "events").collect())
-    got = registry.QUERIES["queue_to_head_all"].run(spark, sf_dir).collect()
+    got = registry.QUERIES["queue_to_head"].run(spark, sf_dir).collect()
     assert len(events) > 200 and sorted((r.place, r.event_id, r.selected) for r in got) == [(i + 1, e, not other) for i, (other, e) in enumerate(events)]
 
 
 def test_catalog_sort_descending_sorts_the_whole_catalogue(spark, sf_dir):
-    rows = registry.QUERIES["catalog_sort_descending_all"].run(spark, sf_dir).collect()
+    rows = registry.QUERIES["catalog_sort_descending"].run(spark, sf_dir).collect()
     parts = registry.table(spark, sf_dir, "part").collect()
     want = sorted(((r.p_retailprice, r.p_name, r.p_partkey) for r in parts), reverse=True)
     assert len(parts) > 50 and [(r.focal, r.name, r.id) for r in rows] == want
