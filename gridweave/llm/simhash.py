@@ -270,6 +270,10 @@ def _pair(l: str, r: str) -> list[Column]:  # noqa: E741
     return [F.greatest(l, r).alias("a"), F.least(l, r).alias("b")]
 
 
+def _more(linked: DataFrame | None, found: DataFrame) -> DataFrame:
+    return found if linked is None else linked.unionByName(found).distinct()
+
+
 def similar_roots(classes: DataFrame, sets: DataFrame, similarity: float, scratch: common.Scratch) -> DataFrame:
     """(node, root) of the `classes` (node, keys, x, y, size) that pairs of the similarity which share a key connect.
 
@@ -293,8 +297,15 @@ def similar_roots(classes: DataFrame, sets: DataFrame, similarity: float, scratc
         if many.isEmpty() or turn == HUBS:
             break
         tried = many.select("key", F.struct("root", "node", "x", "y", "size").alias("l"), "r").where((F.col("l.root") != F.col("r.root")) & close(similarity))
-        found = verified(tried.select(*_pair("l.node", "r.node")), sets, similarity)
-        linked = scratch.keep(found if linked is None else linked.unionByName(found).distinct(), "links")
+        tried = scratch.keep(tried.select(*_pair("l.node", "r.node")).distinct(), "tried")
+        # First one partner for each node: in a group of near copies that connects most of the others, whose sets then stay where they are.
+        first = tried.groupBy("a").agg(F.min("b").alias("b"))
+        linked = scratch.keep(_more(linked, verified(first, sets, similarity)), "links")
+        joined = graph.components(linked, scratch)
+        root = lambda c: joined.select(F.col("node").alias(c), F.col("root").alias(f"_{c}"))  # noqa: E731, B023
+        rest = tried.join(first, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
+        rest = rest.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+        linked = scratch.keep(_more(linked, verified(rest, sets, similarity)), "links")
         roots = graph.components(linked, scratch)
         many = many.where(F.col("node") != F.col("r.node")).drop("r")
     if many.isEmpty():
@@ -306,7 +317,7 @@ def similar_roots(classes: DataFrame, sets: DataFrame, similarity: float, scratc
     right = dealt.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("_salts")).cast("int"))
     at = (F.col("l.key") == F.col("r.key")) & (F.col("l.salt") == F.col("r.salt")) & (F.col("l.root") != F.col("r.root")) & close(similarity)
     rest = verified(left.alias("l").join(right.alias("r"), at).select(*_pair("l.node", "r.node")), sets, similarity)
-    return graph.components(rest if linked is None else linked.unionByName(rest), scratch)
+    return graph.components(_more(linked, rest), scratch)
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILAR, shingle: int = SHINGLE) -> DataFrame:
