@@ -14,6 +14,8 @@ def path(spark: SparkSession, name: str) -> str:
     if not root:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         if own.isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridweave-"))
             own = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = own.get()
