@@ -157,6 +157,14 @@ def describe(data: bytes) -> list[dict]:
     return out
 
 
+def try_describe(data: bytes) -> tuple[list[dict], str | None]:
+    """`describe`, and None; or no tracks and what is wrong, where tables are cut short or contradict each other."""
+    try:
+        return describe(data), None
+    except (struct.error, IndexError, StopIteration) as e:
+        return [], f"malformed tables: {type(e).__name__}"
+
+
 def read(data: bytes) -> bytes:
     """The stored bytes of the first track, by its sample tables."""
     tracks = track_tables(data)

@@ -49,3 +49,17 @@ def test_media_features(hard_docs, no_docs):
     files = {r.doc_id: r.media for r in media.media_column(hard_docs).collect()}
     assert all(r.media_sha256 == hashlib.sha256(files[r.doc_id]).hexdigest() and r.media_bytes == len(files[r.doc_id]) for r in rows)
     assert media.media_features(no_docs).collect() == []
+
+
+def test_malformed_tables_give_an_error():
+    good = media.write(media.pad(b"some payload of bytes" * 40))
+    assert media.try_describe(good) == (media.describe(good), None)
+    at = good.index(b"stts")
+    cut = good[: at + 8] + b"\xff\xff\xff\xff" + good[at + 12 :]  # more entries than the file has bytes
+    late = good.index(b"stss")
+    beyond = good[: late + 12] + b"\x00\x10\x00\x00" + good[late + 16 :]  # a sync sample beyond the end
+    no_runs = good.replace(b"stsc", b"free")
+    for data in (cut, beyond, no_runs):
+        tracks, error = media.try_describe(data)
+        assert tracks == [] and error.startswith("malformed")
+    assert media.try_describe(b"") == ([], None)
