@@ -21,9 +21,11 @@ BITS, SEED = 64, 42
 #: Fingerprints that share a key are compared with each other up to so many; beyond that by common neighbours.
 DENSE = 64
 #: Rounds in which the members of a key are compared with one of them, before what is left is compared block by block.
-HUBS = 4
+HUBS = 2
 #: Members of a key that one task compares with the ones outside its largest component.
 SALTED = 512
+#: Partitions, at least, that these blocks are dealt to.
+BLOCKS = 200
 
 
 def shingles(text: str, n: int) -> list[bytes]:
@@ -259,11 +261,15 @@ def close(similarity: float) -> Column:
     return (F.least("l.size", "r.size") >= similarity * F.greatest("l.size", "r.size")) & chain & (differ((1 << LONG) - 1) <= FAR)
 
 
+def alike(l: str, r: str, similarity: float) -> Column:  # noqa: E741
+    shared = F.size(F.array_intersect(l, r))
+    return shared >= similarity * (F.size(l) + F.size(r) - shared)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of `pairs` (a, b), each once, whose sets (node, shingles) have the Jaccard similarity."""
     both = pairs.distinct().join(sets.toDF("a", "_l"), "a").join(sets.toDF("b", "_r"), "b")
-    shared = F.size(F.array_intersect("_l", "_r"))
-    return both.where(shared >= similarity * (F.size("_l") + F.size("_r") - shared)).select("a", "b")
+    return both.where(alike("_l", "_r", similarity)).select("a", "b")
 
 
 def _pair(l: str, r: str) -> list[Column]:  # noqa: E741
@@ -312,12 +318,19 @@ def similar_roots(classes: DataFrame, sets: DataFrame, similarity: float, scratc
         return roots if roots is not None else many.select("node", F.col("node").alias("root"))
     counted = many.groupBy("key", "root").agg(F.count("*").alias("n"))
     largest = counted.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("_most"), F.ceil(F.sum("n") / SALTED).cast("int").alias("_salts"))
-    dealt = scratch.keep(many.drop("r").join(largest, "key"), "dealt")
+    # Here the members bring their sets along, a row a block, as pairs that fail may be very many more than members.
+    bring = many.drop("r").join(largest, "key").join(sets, "node").join(classes.select("node", "keys"), "node")
+    dealt = scratch.keep(bring, "dealt")
     left = dealt.where(F.col("root") != F.col("_most")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
     right = dealt.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("_salts")).cast("int"))
-    at = (F.col("l.key") == F.col("r.key")) & (F.col("l.salt") == F.col("r.salt")) & (F.col("l.root") != F.col("r.root")) & close(similarity)
-    rest = verified(left.alias("l").join(right.alias("r"), at).select(*_pair("l.node", "r.node")), sets, similarity)
-    return graph.components(_more(linked, rest), scratch)
+    at = (F.col("l.key") == F.col("r.key")) & (F.col("l.salt") == F.col("r.salt")) & (F.col("l.root") != F.col("r.root"))
+    once = (F.col("r.root") == F.col("r._most")) | (F.col("l.node") > F.col("r.node"))
+    # A pair counts under its first common key: where that is no longer here, one of the two was its hub.
+    first = F.element_at(F.array_intersect("l.keys", "r.keys"), 1) == F.col("l.key")
+    # Few bytes may be many pairs, so blocks are dealt out by number, not by size.
+    deal = lambda df: df.repartition(max(BLOCKS, df.sparkSession.sparkContext.defaultParallelism), "key", "salt")
+    rest = deal(left).hint("merge").alias("l").join(deal(right).alias("r"), at & once & close(similarity) & first & alike("l.shingles", "r.shingles", similarity))
+    return graph.components(_more(linked, rest.select(*_pair("l.node", "r.node"))), scratch)
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILAR, shingle: int = SHINGLE) -> DataFrame:
