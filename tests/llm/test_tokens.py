@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -107,3 +108,29 @@ def test_word_counts(spark, hard_docs, no_docs):
     got = {r.word.encode(): r.n for r in common.count_words(hard_docs, flush=2).collect()}
     assert got == dict(want)
     assert common.count_words(no_docs).collect() == []
+
+
+def test_encoding_takes_rows_in_small_batches(spark):
+    """Whole 64 MB batches, in the JVM and in two workers, took an executor over its memory in the pipeline."""
+
+    def sizes_of(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]})
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 4000, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 2000) AS text")
+    spark.conf.set(key, "64m")
+    try:
+        assert bpe.encode_documents(docs, WORDS).where("n_tokens = 2000").count() == 4000
+        sizes = docs.mapInArrow(sizes_of, "n long, size long").collect()
+        assert sum(r.n for r in sizes) == 4000 and max(r.size for r in sizes) < 2 * common.BATCH_BYTES
+        spark.conf.set(key, "1m")
+        common.small_batches(spark)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)
+
+
+def test_slices_hold_as_much_text_as_asked():
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * 40, None, "y" * 70, "z" * 20, "w" * 20]})
+    assert [s.num_rows for s in common.text_slices([batch], most=100)] == [2, 2, 1]
