@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import register, table
+from ..scratch import keep
+from .fixtures import hold
 
 #: Microseconds by which the events of a user are dealt.
 HOURS_6 = 6 * 3600 * 10**6
@@ -74,16 +76,87 @@ def log_distance(a: tuple[Column, Column], b: tuple[Column, Column], weight: flo
     return F.sqrt(F.pow(F.log2(a[0] / b[0]), 2) + weight * F.pow(F.log2(a[1] / b[1]), 2))
 
 
+#: Templates of a cell, about; the most strips of a key, and cells of a strip.
+CELL, PARTS = 64, 256
+#: Distances are compared to 6 decimals, so what is as near within this may be the match.
+SLACK = 2e-6
+
+
+def cuts(df: DataFrame, by: list[str], on: str, parts: Column) -> DataFrame:
+    """(by, cuts): ascending values of `on` that cut a key's rows into about `parts` runs, `PARTS` at most. None is the least value, so no run is empty."""
+    found = df.groupBy(*by).agg(F.percentile_approx(on, [k / PARTS for k in range(1, PARTS)]).alias("_c"), F.min(on).alias("_low"), F.floor(F.lit(PARTS) / parts).alias("_step"))
+    step = F.greatest(F.lit(1), F.col("_step"))
+    return found.select(*by, F.array_distinct(F.filter("_c", lambda c, i: (c > F.col("_low")) & ((i + 1) % step == 0))).alias("cuts"))
+
+
+def run_of(v: Column, of: str = "cuts") -> Column:
+    return F.size(F.filter(of, lambda c: c <= v))
+
+
+def nearest_settings(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """(event_id, distance, template) of `left` (event_id, by, a, b) and `right` (template, by, a, b): the least distance to 6 decimals, then the least template. All settings are positive or negative numbers.
+
+    Two dimensions have no order to sort by, so the templates of a key are cut into strips of one dimension and these into cells of the other, of
+    about `CELL` templates each. A capture is compared with its own cell; what it finds there bounds how far the match can be, and only the few
+    captures whose reach leaves the cell are compared with the other cells within it. Left rows without a right row of equal `by` are left out.
+    """
+    at = (F.log2(F.abs("a")).alias("x"), F.log2(F.abs("b")).alias("y"))
+    right = keep(right.groupBy(*by, "a", "b").agg(F.min("template").alias("template")).select("*", *at), "templates")
+    strips = keep(cuts(right, by, "x", F.sqrt(F.count("*") / CELL)), "strips")
+    right = right.join(F.broadcast(strips), by).withColumn("strip", run_of(F.col("x"))).drop("cuts")
+    rows = keep(cuts(right, [*by, "strip"], "y", F.count("*") / CELL), "rows")
+    cells = right.join(F.broadcast(rows), [*by, "strip"]).withColumn("cell", run_of(F.col("y")))
+    cells = keep(cells.groupBy(*by, "strip", "cell").agg(F.collect_list(F.struct("template", "a", "b", "x", "y")).alias("t")), "cells")
+
+    squared = lambda t: (t["x"] - F.col("x")) * (t["x"] - F.col("x")) + (t["y"] - F.col("y")) * (t["y"] - F.col("y"))
+    exact = lambda t: F.struct(F.round(log_distance((F.col("a"), F.col("b")), (t["a"], t["b"])), 6).alias("distance"), t["template"].alias("template"))
+    best = F.array_min(F.transform(F.filter("t", lambda t: squared(t) <= F.col("reach") * F.col("reach")), exact)).alias("best")
+
+    own = left.select("event_id", *by, "a", "b", *at).join(F.broadcast(strips), by).withColumn("strip", run_of(F.col("x"))).withColumnRenamed("cuts", "_strips")
+    own = own.join(F.broadcast(rows), [*by, "strip"]).withColumn("cell", run_of(F.col("y"))).join(cells, [*by, "strip", "cell"])
+    own = hold(own, "reach", F.sqrt(F.array_min(F.transform("t", squared))) + SLACK)
+    ends = (run_of(F.col("x") - F.col("reach"), "_strips").alias("_s0"), run_of(F.col("x") + F.col("reach"), "_strips").alias("_s1"), run_of(F.col("y") - F.col("reach")).alias("_c0"), run_of(F.col("y") + F.col("reach")).alias("_c1"))
+    own = keep(own.select("event_id", *by, "a", "b", "x", "y", "reach", "strip", "cell", best, *ends), "captures")
+
+    far = own.where("_s0 < _s1 OR _c0 < _c1").withColumnRenamed("strip", "_strip").withColumnRenamed("cell", "_cell").drop("best")
+    far = far.withColumn("strip", F.explode(F.sequence("_s0", "_s1"))).join(F.broadcast(rows), [*by, "strip"])
+    far = far.withColumn("cell", F.explode(F.sequence(run_of(F.col("y") - F.col("reach")), run_of(F.col("y") + F.col("reach"))))).where("strip != _strip OR cell != _cell")
+    far = far.join(cells, [*by, "strip", "cell"]).select("event_id", best).where("best IS NOT NULL")
+    return own.select("event_id", "best").unionAll(far).groupBy("event_id").agg(F.min("best").alias("best")).select("event_id", "best.distance", "best.template")
+
+
+def like(c: Column) -> Column:
+    """A number that stands for all of its kind: nulls, NaN, zero, infinities, and the sign of the others."""
+    return F.when(F.isnan(c) | (F.abs(c) == float("inf")), c).otherwise(F.signum(c))
+
+
+def unlike_distance(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+    """The distance where it is no finite number: a missing setting gives null, quotients and logarithms of zero are infinite, of unlike signs NaN."""
+    nan, inf = F.lit(float("nan")), F.lit(float("inf"))
+    ratio = lambda p, q: F.when(p.isNull() | q.isNull(), None).when(q == 0, F.when(p == 0, nan).otherwise(p * inf)).otherwise(p / F.when(q != 0, q))
+    square = lambda r: F.when(r.isNull(), None).when(F.isnan(r) | (r < 0), nan).when((r == 0) | (r == inf), inf).otherwise(0.0)
+    return F.sqrt(square(ratio(a[0], b[0])) + square(ratio(a[1], b[1])))
+
+
 @register("nearest_by_log_distance", "WITH l AS (SELECT event_id, user_id % 50 AS model, value + 1 AS iso, (props->>'k')::DOUBLE + 1 AS shutter FROM events WHERE event_type = 'purchase'), r AS (SELECT event_id AS template, user_id % 50 AS model, value + 1 AS iso, (props->>'k')::DOUBLE + 1 AS shutter FROM events WHERE event_type = 'error'), d AS (SELECT event_id, template, round(sqrt(log2(l.iso / r.iso) ** 2 + log2(l.shutter / r.shutter) ** 2), 6) AS distance FROM l JOIN r USING (model)) SELECT event_id, arg_min(template, (distance, template)) AS template, min(distance) AS distance FROM d GROUP BY event_id")
 def _(spark, sf_dir):
-    """Within one model, the template whose settings are nearest. Two dimensions have no order to sort by, so templates of a model are
-    gathered into one array, and each capture takes the least of it: no pair of rows is ever made."""
+    """Within one model, the template whose settings are nearest, by cells of the plane. Distances are finite only between numbers of one sign; a capture
+    that has no such template gets the first of those at the least distance of another kind, for which one template of each kind does."""
     k = F.get_json_object("props", "$.k").cast("double") + 1
-    e = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 50).alias("model"), (F.col("value") + 1).alias("iso"), k.alias("shutter"), "event_type")
-    templates = e.where("event_type = 'error'").groupBy("model").agg(F.collect_set(F.struct("event_id", "iso", "shutter")).alias("t"))
-    own = (F.col("iso"), F.col("shutter"))
-    best = F.array_min(F.transform("t", lambda t: F.struct(F.round(log_distance(own, (t["iso"], t["shutter"])), 6).alias("distance"), t["event_id"].alias("template"))))
-    return e.where("event_type = 'purchase'").join(templates, "model").withColumn("b", best).select("event_id", "b.template", "b.distance")
+    e = table(spark, sf_dir, "events").where("event_type IN ('purchase', 'error')").select("event_id", (F.col("user_id") % 50).alias("model"), (F.col("value") + 1).alias("a"), k.alias("b"), "event_type")
+    e = keep(e.withColumn("_a", like(F.col("a"))).withColumn("_b", like(F.col("b"))), "settings")
+    number = F.abs("_a").eqNullSafe(1.0) & F.abs("_b").eqNullSafe(1.0)
+    captures, templates = e.where("event_type = 'purchase'"), e.where("event_type = 'error'").withColumnRenamed("event_id", "template")
+    by = ["model", "_a", "_b"]
+    kinds = templates.groupBy(*by).agg(F.min("template").alias("template"))
+    finite = nearest_settings(captures.where(number), templates.where(number), by)
+
+    of = kinds.groupBy("model").agg(F.collect_list(F.struct("template", "_a", "_b")).alias("t"))
+    d = lambda t: unlike_distance((F.col("_a"), F.col("_b")), (t["_a"], t["_b"]))
+    first = F.array_min(F.transform("t", lambda t: F.struct(d(t).isNull().alias("none"), d(t).alias("distance"), t["template"].alias("template"))))
+    same = F.exists("t", lambda t: (t["_a"] == F.col("_a")) & (t["_b"] == F.col("_b")))
+    other = captures.join(F.broadcast(of), "model").where(~(number & F.coalesce(same, F.lit(False)))).groupBy("event_id").agg(F.min(first).alias("best"))
+    return finite.select("event_id", "template", "distance").unionAll(other.select("event_id", "best.template", "best.distance"))
 
 
 @register("nearest_level", "WITH t AS (SELECT DISTINCT p_brand, p_size * 2 AS level FROM part WHERE p_partkey % 7 = 0) SELECT p_partkey, p_size, (SELECT arg_min(level, (abs(level - p_size), -level)) FROM t WHERE t.p_brand = part.p_brand) AS level FROM part")

@@ -4,6 +4,8 @@ import math
 import random
 import statistics as statistics_of
 
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,3 +199,48 @@ def test_catalog_sort_descending_sorts_the_whole_catalogue(spark, sf_dir):
     parts = registry.table(spark, sf_dir, "part").collect()
     want = sorted(((r.p_retailprice, r.p_name, r.p_partkey) for r in parts), reverse=True)
     assert len(parts) > 50 and [(r.focal, r.name, r.id) for r in rows] == want
+
+
+def same_as_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("events", "part", "lineitem"):
+        if (sf_dir / f"{t}.parquet").exists():
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    cur = con.execute(registry.QUERIES[name].sql)
+    columns = [c[0] for c in cur.description]
+    want = sorted(map(repr, cur.fetchall()))
+    assert want and sorted(repr(tuple(r[c] for c in columns)) for r in registry.QUERIES[name].run(spark, str(sf_dir)).collect()) == want
+
+
+def test_nearest_settings_with_missing_and_odd_values(spark, tmp_path):
+    r = random.Random(5)
+    odd = [None, -1.0, -3.5, float("nan"), float("inf"), 0.0]
+    k = lambda: r.choice(["{}", '{"k": -1}', '{"k": -4}', '{"k": 7}'] if r.random() < 0.3 else [f'{{"k": {r.randrange(9)}}}'])
+    rows = [(i, r.choice([0, 1, 2, 52, None]), r.choice(["purchase", "error"]), r.choice(odd) if r.random() < 0.3 else round(r.random() * 40, 1), k()) for i in range(300)]
+    rows += [(900, 7, "purchase", 1.0, '{"k": 1}'), (901, 7, "error", 3.0, "{}"), (902, 8, "purchase", 1.0, '{"k": 1}'), (903, 8, "error", -9.0, '{"k": 1}'), (904, 9, "purchase", 1.0, '{"k": 1}')]
+    rows += [(905, 10, "purchase", 1.0, '{"k": 1}'), (906, 10, "error", None, '{"k": 1}'), (907, 10, "error", 5.0, '{"k": 1}')]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * FROM '{tmp_path}/events.parquet/*.parquet') TO '{tmp_path}/one.parquet'")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "one.parquet").rename(tmp_path / "in" / "events.parquet")
+    same_as_sql(spark, tmp_path / "in", "nearest_by_log_distance")
+
+
+@pytest.mark.parametrize("flat", [(), ("a",), ("b",), ("a", "b")])
+def test_nearest_settings_by_brute_force_in_small_cells(spark, monkeypatch, flat):
+    kept = {}
+    monkeypatch.setattr(matching, "keep", lambda df, name: kept.setdefault(name, df.localCheckpoint()))
+    r = np.random.default_rng(2)
+    draw = lambda n: [(i, "m", 1.0 if "a" in flat else float(a), 2.0 if "b" in flat else float(b)) for i, (a, b) in enumerate(zip(np.exp(r.normal(size=n)).round(3), r.integers(1, 100, n), strict=True))]
+    left, right = draw(1500) + [(9000, "m", 1e-6, 1e6), (9001, "other", 1.0, 1.0)], draw(6000)
+    schema = "{} long, model string, a double, b double"
+    got = matching.nearest_settings(spark.createDataFrame(left, schema.format("event_id")), spark.createDataFrame(right, schema.format("template")), ["model"]).collect()
+    a, b = (np.array([x[c] for x in right]) for c in (2, 3))
+    want = {}
+    for i, _, x, y in left[:-1]:
+        d = np.sqrt(np.log2(x / a) ** 2 + np.log2(y / b) ** 2).round(6)
+        want[i] = (float(d.min()), int(d.argmin()))
+    assert {x.event_id: (x.distance, x.template) for x in got} == want
+    if not flat:
+        assert max(x.n for x in kept["cells"].select(F.size("t").alias("n")).collect()) <= 4 * matching.CELL
