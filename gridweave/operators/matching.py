@@ -23,18 +23,19 @@ def neighbours(df: DataFrame, by: list[str], on: str, found: Column, width: floa
     """`df` with `_below` and `_above`: the last non-null `found` at or before each row in the order of `on`, and the first at or after.
 
     A key's rows are dealt by runs of `width` of `on`, so that a key with very many rows is many tasks' work. What runs
-    hand on to each other is a row a run: its first and its last `found`, carried over the runs in a small table.
+    hand on to each other is a row a run: its first and its last `found`, carried over the runs in a small table. Both ways
+    are frames from the start: one that reaches to the end is worked out anew for each row, in time that is quadratic in a run.
     """
     df = df.withColumn("_run", F.floor(F.col(on) / F.lit(float(width)))).withColumn("_found", found)
     ends = df.groupBy(*by, "_run").agg(F.max(F.when(F.col("_found").isNotNull(), F.struct(on, "_found"))).alias("_last"), F.min(F.when(F.col("_found").isNotNull(), F.struct(on, "_found"))).alias("_first"))
     runs = Window.partitionBy(*by).orderBy("_run")
     ends = ends.withColumn("_before", F.last("_last", True).over(runs.rowsBetween(Window.unboundedPreceding, -1))["_found"])
-    ends = ends.withColumn("_after", F.first("_first", True).over(runs.rowsBetween(1, Window.unboundedFollowing))["_found"])
+    ends = ends.withColumn("_after", F.last("_first", True).over(Window.partitionBy(*by).orderBy(F.desc("_run")).rowsBetween(Window.unboundedPreceding, -1))["_found"])
     w = Window.partitionBy(*by, "_run")
     first = F.col("_found").isNull().cast("int")  # among equal places, what is found counts both ways
     df = df.withColumn("_below", F.last("_found", True).over(w.orderBy(on, first).rowsBetween(Window.unboundedPreceding, 0)))
     if above:
-        df = df.withColumn("_above", F.first("_found", True).over(w.orderBy(on, F.desc(first)).rowsBetween(0, Window.unboundedFollowing)))
+        df = df.withColumn("_above", F.last("_found", True).over(w.orderBy(F.desc(on), first).rowsBetween(Window.unboundedPreceding, 0)))
     df = df.join(ends.select(*by, "_run", "_before", "_after"), [*by, "_run"])
     df = df.withColumn("_below", F.coalesce("_below", "_before"))
     return df.withColumn("_above", F.coalesce("_above", "_after")) if above else df
@@ -161,10 +162,15 @@ def _(spark, sf_dir):
 
 @register("nearest_level", "WITH t AS (SELECT DISTINCT p_brand, p_size * 2 AS level FROM part WHERE p_partkey % 7 = 0) SELECT p_partkey, p_size, (SELECT arg_min(level, (abs(level - p_size), -level)) FROM t WHERE t.p_brand = part.p_brand) AS level FROM part")
 def _(spark, sf_dir):
-    """The nearest calibrated level of the same make; of two as near, the higher."""
-    p = table(spark, sf_dir, "part")
-    levels = p.where("p_partkey % 7 = 0").select("p_brand", (F.col("p_size") * 2).alias("p_size")).withColumn("level", F.col("p_size"))
-    return nearest(p.select("p_partkey", "p_brand", "p_size"), levels, ["p_brand"], "p_size", "level", "above", width=8).select("p_partkey", "p_size", "level")
+    """The nearest calibrated level of the same make; of two as near, the higher. Sizes repeat, so each make's distinct ones are matched and the parts
+    look theirs up. A part without a size is as near to all levels, so it gets the highest."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
+    levels = p.where("p_partkey % 7 = 0 AND p_size IS NOT NULL").select("p_brand", (F.col("p_size") * 2).alias("p_size")).withColumn("level", F.col("p_size"))
+    sizes = p.where("p_brand IS NOT NULL AND p_size IS NOT NULL").select("p_brand", "p_size").distinct().withColumn("_own", F.col("p_size"))
+    found = nearest(sizes, levels, ["p_brand"], "p_size", "level", "above", width=8).select("p_brand", F.col("_own").alias("_size"), "level")
+    found = found.unionAll(levels.groupBy("p_brand").agg(F.max("level").alias("level")).select("p_brand", F.lit(None).cast("int").alias("_size"), "level"))
+    same = (p["p_brand"] == found["p_brand"]) & p["p_size"].eqNullSafe(found["_size"])
+    return p.join(found, same, "left").select("p_partkey", "p_size", "level")
 
 
 #: Smallest aperture key above the value -> scale.

@@ -244,3 +244,16 @@ def test_nearest_settings_by_brute_force_in_small_cells(spark, monkeypatch, flat
     assert {x.event_id: (x.distance, x.template) for x in got} == want
     if not flat:
         assert max(x.n for x in kept["cells"].select(F.size("t").alias("n")).collect()) <= 4 * matching.CELL
+
+
+def test_nearest_level_keeps_parts_without_size_or_brand(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT i::BIGINT AS p_partkey, CASE WHEN i % 11 > 0 THEN 'b' || (i % 3) END AS p_brand, CASE WHEN i % 5 > 0 THEN (i * 13 % 50)::INT END AS p_size FROM range(200) t(i) UNION ALL SELECT 1, 'alone', 5 UNION ALL SELECT 2, 'alone', NULL) TO '{tmp_path}/part.parquet'")
+    same_as_sql(spark, tmp_path, "nearest_level")
+
+
+def test_no_frame_reaches_to_the_end(spark, sf_dir):
+    """Such a frame is worked out anew for each row."""
+    for name in ("nearest_level", "nearest_template"):
+        plan = registry.QUERIES[name].run(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
