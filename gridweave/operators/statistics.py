@@ -156,6 +156,37 @@ def nth_element(df: DataFrame, column: str, share: float) -> DataFrame:
     return inside.where(F.col("r") == place - (at["cum"] - at["n"] if at else 0) + 1).select(F.col(column).alias("value"))
 
 
+#: How far about a share, of all rows, its value is looked for first.
+AROUND = 0.002
+
+
+def percentiles(df: DataFrame, by: str, column: str, shares: tuple[float, ...]) -> DataFrame:
+    """(by, p0, p1, ...): exact percentiles of each group, straight between the two values about a place; groups without a value are left out.
+
+    Approximate percentiles, from partial aggregates, cut each group's range close about each share. Counts of the runs between cuts tell which
+    run holds a place, and only its values are sorted. The cuts settle how much is sorted, not the result.
+    """
+    df = df.where(F.col(column).isNotNull()).select(F.col(by).alias("_by"), F.col(column).alias("_v"))
+    about = [min(1.0, max(0.0, s + d)) for s in shares for d in (-AROUND, AROUND)]
+    cuts = df.groupBy(F.col("_by").alias("_of")).agg(F.percentile_approx("_v", about).alias("_cuts"), F.count("*").alias("_n"))
+    run = sum((F.col("_v") >= F.get("_cuts", F.lit(i))).cast("int") for i in range(len(about)))
+    rows = df.join(F.broadcast(cuts), F.col("_by").eqNullSafe(F.col("_of"))).select("_by", "_v", "_n", run.alias("_run"))
+    w = Window.partitionBy("_of").orderBy("_in")
+    runs = rows.groupBy(F.col("_by").alias("_of"), F.col("_run").alias("_in"), "_n").agg(F.count("*").alias("_c")).withColumn("_before", F.sum("_c").over(w) - F.col("_c"))
+    place = [(F.col("_n") - 1) * F.lit(float(s)) for s in shares]
+    ends = [(F.floor(k), F.ceil(k)) for k in place]
+    held = F.lit(False)
+    for k in (k for pair in ends for k in pair):
+        held = held | ((F.col("_before") <= k) & (k < F.col("_before") + F.col("_c")))
+    runs = runs.where(held).select("_of", "_in", "_before")
+    inside = rows.join(F.broadcast(runs), F.col("_by").eqNullSafe(F.col("_of")) & (F.col("_run") == F.col("_in")))
+    inside = inside.groupBy("_by", "_run", "_before", "_n", "_v").agg(F.count("*").alias("_c"))
+    inside = inside.withColumn("_upto", F.col("_before") + F.sum("_c").over(Window.partitionBy("_by", "_run").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    value = lambda k: F.min(F.when(F.col("_upto") > k, F.col("_v")))
+    part = lambda a, b, k: F.when(a == b, a).otherwise(a + (b - a) * F.max(k - F.floor(k)))
+    return inside.groupBy(F.col("_by").alias(by)).agg(*(part(value(a), value(b), k).alias(f"p{i}") for i, ((a, b), k) in enumerate(zip(ends, place, strict=True))))
+
+
 @register("ambient_quantile", "WITH r AS (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_extendedprice) - 1 AS r, count(*) OVER () AS n FROM lineitem), q AS (SELECT v AS q FROM r WHERE r = trunc(n * 0.95)::BIGINT) SELECT round(q, 6) AS quantile, round(avg(v), 4) AS ambient, count(*) AS n FROM r, q WHERE v >= q GROUP BY q")
 def _(spark, sf_dir):
     """The order statistic at 95 %, and the mean of what is not below it."""

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import statistics as statistics_of
 
 import duckdb
@@ -257,3 +258,14 @@ def test_no_frame_reaches_to_the_end(spark, sf_dir):
     for name in ("nearest_level", "nearest_template"):
         plan = registry.QUERIES[name].run(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+
+
+@pytest.mark.parametrize("around", [0.002, 0.0])
+def test_percentiles_of_groups_need_no_table_of_all_values(spark, tmp_path, monkeypatch, around):
+    monkeypatch.setattr(statistics, "AROUND", around)
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT CASE i % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' END AS l_returnflag, CASE WHEN i % 4 = 2 OR i % 7 = 0 THEN NULL WHEN i % 4 = 1 THEN i % 3 ELSE i * 7919 % 10007 / 100 END::DOUBLE AS l_extendedprice,
+        CASE WHEN i % 9 > 0 THEN i % 40 END::BIGINT AS l_partkey FROM range(5000) t(i) UNION ALL SELECT 'D', 5.5, 1 UNION ALL SELECT 'E', 1.25, 1 UNION ALL SELECT 'E', 2.5, NULL) TO '{tmp_path}/lineitem.parquet'""")
+    same_as_sql(spark, tmp_path, "table_percentiles")
+    plan = registry.QUERIES["table_percentiles"].run(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile_approx(" in plan and not re.search(r"\b(percentile|median)\(", plan)
