@@ -145,7 +145,9 @@ def _(spark, sf_dir):
     that has no such template gets the first of those at the least distance of another kind, for which one template of each kind does."""
     k = F.get_json_object("props", "$.k").cast("double") + 1
     e = table(spark, sf_dir, "events").where("event_type IN ('purchase', 'error')").select("event_id", (F.col("user_id") % 50).alias("model"), (F.col("value") + 1).alias("a"), k.alias("b"), "event_type")
-    e = keep(e.withColumn("_a", like(F.col("a"))).withColumn("_b", like(F.col("b"))), "settings")
+    e = e.withColumn("_a", like(F.col("a"))).withColumn("_b", like(F.col("b")))
+    # a capture's comparisons cost far more than its bytes tell, so a file with few row groups must not leave them to few tasks
+    e = keep(e.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "event_id"), "settings")
     number = F.abs("_a").eqNullSafe(1.0) & F.abs("_b").eqNullSafe(1.0)
     captures, templates = e.where("event_type = 'purchase'"), e.where("event_type = 'error'").withColumnRenamed("event_id", "template")
     by = ["model", "_a", "_b"]
